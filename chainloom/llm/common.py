@@ -106,6 +106,14 @@ class BoundedCache(dict):
         return value
 
 
+def kept(model, maker: str):
+    """``model.maker()``, made once for each process that holds the model, so caches outlive a task."""
+    found = model.__dict__.get("_kept")
+    if found is None:
+        found = model.__dict__["_kept"] = getattr(model, maker)()
+    return found
+
+
 def hash_text(word: str, seed: int = 0) -> int:
     """64-bit hash, the same in every process."""
     data = word.encode("utf-8", "surrogatepass")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fold_of, fold_of_value, texts_of
+from .common import chunks, fold_of, fold_of_value, kept, texts_of
 
 DIM = 4096
 MAX_LETTERS = 96
@@ -142,7 +142,7 @@ def predict_language(docs: DataFrame, model: LanguageModel, folds: int = 4, held
     sent = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the alphabet and the number of languages
 
     def run(batches):
-        predict = sent.value.predict()
+        predict = kept(sent.value, "predict")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for lo, hi in chunks(texts):

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, fold_of_value, hash_text, labelled_sample, mix, texts_of
+from .common import chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -133,7 +133,7 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
     sent = docs.sparkSession.sparkContext.broadcast(model)  # fixed size: one float for each bucket
 
     def run(batches):
-        score = sent.value.scorer()
+        score = kept(sent.value, "scorer")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for lo, hi in chunks(texts):

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language, packing, quality_model, toxicity, wavelet
+from . import decontaminate, language, line_dedup, near_dedup, packing, pii, quality_model, quality_rules, toxicity, wavelet
 from .common import table
 
 
@@ -25,26 +26,47 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_model.score_quality(docs, quality_model.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: numbers of lines taken out, and length and digest of the text that is left."""
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", "n_exact", "n_near", F.length(text).cast("long").alias("n_chars_left"), F.md5(text).alias("text_md5"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language.predict_language(docs, language.fit_languages(docs))
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit_pii(docs))
+
+
 def op9_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encode_to_files(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_toxicity": op1_toxicity,
-    "op2_packing": op2_packing,
-    "op4_quality": op4_quality,
-    "op7_language": op7_language,
-    "op9_wavelet": op9_wavelet,
+    f.__name__: f
+    for f in (op1_toxicity, op2_packing, op3_decontaminate, op4_quality, op5_near_dedup, op6_line_dedup, op7_language, op8_pii, op9_wavelet, op10_quality_rules)
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, chunks, fold_of_value, hash_text, labelled_sample, mix, texts_of
+from .common import BoundedCache, chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -108,10 +108,10 @@ def fit_ftrl(rows: list, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0,
             n[x] += g * g
             zb, nb = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias, nb + g * g
     w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    kept = np.flatnonzero(w)
-    if len(kept) > MAX_WEIGHTS:
-        raise ValueError(f"{len(kept)} weights exceed {MAX_WEIGHTS}; raise l1")
-    return ToxicityModel(kept.astype(np.int32), w[kept].astype(np.float32), -zb / ((beta + nb**0.5) / alpha + l2), bits, stem)
+    used = np.flatnonzero(w)
+    if len(used) > MAX_WEIGHTS:
+        raise ValueError(f"{len(used)} weights exceed {MAX_WEIGHTS}; raise l1")
+    return ToxicityModel(used.astype(np.int32), w[used].astype(np.float32), -zb / ((beta + nb**0.5) / alpha + l2), bits, stem)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, max_docs: int = 10_000, **params) -> ToxicityModel:
@@ -124,7 +124,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        score = sent.value.scorer()
+        score = kept(sent.value, "scorer")
         for b in batches:
             ids, texts = b.column(0).to_pylist(), texts_of(b.column(1))
             for lo, hi in chunks(texts):
@@ -135,3 +135,17 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
                 )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, that score below ``threshold``; one narrow pass."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index("text")
+
+    def run(batches):
+        score = kept(sent.value, "scorer")
+        for b in batches:
+            texts = texts_of(b.column(at))
+            clean = [s < threshold for lo, hi in chunks(texts) for s in score(texts[lo:hi])]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
