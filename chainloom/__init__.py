@@ -1,0 +1 @@
+"""Supply-chain risk analytics on Spark DataFrames."""
