@@ -29,6 +29,7 @@ def signals(versions: DataFrame, maintainers: DataFrame | None = None, events: D
     """
     if mode not in ("compat", "point_in_time"):
         raise ValueError(mode)
+    versions = versions.withColumn("published_at", F.col("published_at").cast("timestamp"))
     item = F.struct("published_at", "version", "publisher", "size", "has_install_hook", "provenance", F.coalesce(F.nullif("entropy", F.lit(0.0)), F.lit(4.5)).alias("entropy"))
     packs = versions.groupBy("package").agg(F.array_sort(F.collect_list(item)).alias("all"))
     rows = packs.select("package", "all", F.posexplode("all").alias("at", "v"))
@@ -161,7 +162,7 @@ def evidence(rows: DataFrame) -> DataFrame:
 
 def cadence_telemetry(published: DataFrame) -> DataFrame:
     """(package, cadence): last gap over the upper median of all gaps, rounded; 0.1 without one."""
-    when = published.groupBy("package").agg(F.array_sort(F.collect_list(F.unix_micros("published_at") / F.lit(DAY))).alias("t"))
+    when = published.groupBy("package").agg(F.array_sort(F.collect_list(F.unix_micros(F.col("published_at").cast("timestamp")) / F.lit(DAY))).alias("t"))
     gaps = F.expr("transform(slice(t, 2, greatest(size(t) - 1, 0)), (x, i) -> x - t[i])")
     out = when.withColumn("g", gaps).withColumn("m", F.expr("get(array_sort(g), size(g) div 2)"))
     return out.select("package", F.when(F.col("m") > 0, F.round(F.expr("get(g, size(g) - 1)") / F.greatest(F.lit(1.0), F.col("m")), 2)).otherwise(0.1).alias("cadence"))
