@@ -41,7 +41,7 @@ TRIGGER = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I)
 WRITTEN_OUT = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
 TOKEN = re.compile(r"\S+")
 NOT_DIGIT = re.compile("[^0-9]+")
-MAX_RUN = 6
+MAX_RUN = 10
 #: Tokens without a trigger that end a neighbourhood.
 REACH = 2
 EDGES = ".,;:!?\"'<>"
@@ -76,12 +76,12 @@ DOT = re.compile(r"\s*[(\[{]\s*dot\s*[)\]}]\s*", re.I)
 FEATURES = (
     "bias", "email", "email, disguised", "@ without a domain", "letters", "only digits", "= or _", "ip", "four parts over 255", "plus", "parentheses",
     "groups 3-3-4", "groups 3-4", "other groups", "12 to 19 digits", "13 to 16 digits and Luhn", "Luhn fails", "9 to 15 digits", "under 7 digits", "over 19 digits", "cut like a date",
-    "equal groups of four", "dots between groups", "several tokens", "one group", "trailing letters",
+    "equal groups of four", "dots between groups", "several tokens", "one group", "trailing letters", "cut short",
 )
 
 
-def span_features(text: str) -> np.ndarray:
-    """0/1 features of a whole candidate."""
+def span_features(text: str, cut_short: bool = False) -> np.ndarray:
+    """0/1 features of a whole candidate; ``cut_short``: a written-out "at" or "dot" stands beside it."""
     plain = DOT.sub(".", AT.sub("@", text))
     digits = NOT_DIGIT.sub("", text)
     groups = [len(g) for g in re.findall("[0-9]+", text)]
@@ -95,7 +95,7 @@ def span_features(text: str) -> np.ndarray:
         True, bool(EMAIL.fullmatch(text)), plain != text and bool(EMAIL.fullmatch(plain)), "@" in text and not EMAIL.fullmatch(text), letters, text.isdigit(), "=" in text or "_" in text,
         four and all(len(p) <= 3 and int(p) <= 255 for p in parts), four and any(len(p) > 3 or int(p) > 255 for p in parts), text.startswith("+"), "(" in text,
         local, groups == [3, 4] and not letters, bool(groups) and not local, 12 <= n <= 19, 13 <= n <= 16 and good and not letters, n > 11 and not good, 9 <= n <= 15, n < 7, n > 19, date,
-        len(groups) > 2 and set(groups) == {4}, len(groups) > 1 and "." in text, len(text.split()) > 1, len(groups) == 1, letters and text[-1:].isalpha(),
+        len(groups) > 2 and set(groups) == {4}, len(groups) > 1 and "." in text, len(text.split()) > 1, len(groups) == 1, letters and text[-1:].isalpha(), cut_short,
     )
     return np.array(on, np.float64)
 
@@ -155,10 +155,11 @@ class Candidate:
 def candidates(text: str, tokens: list[tuple[int, int, bool]]) -> list[Candidate]:
     """All spans of up to MAX_RUN tokens from trigger to trigger, without outer punctuation."""
     out = []
+    written = [False, *(bool(WRITTEN_OUT.fullmatch(text, a, b)) for a, b, _ in tokens), False]
     for i, (start, _, edge) in enumerate(tokens):
         for j in range(i, min(len(tokens), i + MAX_RUN)) if edge else ():
             if tokens[j][2] and (span := trim(text, start, tokens[j][1])):
-                out.append(Candidate(i, j, *span, span_features(text[span[0] : span[1]])))
+                out.append(Candidate(i, j, *span, span_features(text[span[0] : span[1]], written[i] or written[j + 2])))
     return out
 
 
@@ -256,10 +257,10 @@ class PiiModel:
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def fit_field(texts: list[str], epochs: int = 6, rate: float = 0.5, ridge: float = 1e-3, max_windows: int = 3_000, seed: int = 3) -> PiiModel:
+def fit_field(texts: list[str], epochs: int = 15, rate: float = 1.0, ridge: float = 1e-4, max_windows: int = 3_000, seed: int = 3) -> PiiModel:
     draw = random.Random(seed)
     cases = []
-    for text in [*SEEDS * 5, *texts]:
+    for text in [*SEEDS * 15, *texts]:
         for tokens in neighbourhoods(text):
             lo, hi = max(0, tokens[0][0] - 30), tokens[-1][1] + 30
             near = text[lo:hi]
@@ -273,7 +274,9 @@ def fit_field(texts: list[str], epochs: int = 6, rate: float = 0.5, ridge: float
         for tokens in neighbourhoods(text):
             found = candidates(text, tokens)
             truth = {(c.first, c.last): wanted[c.start, c.end] for c in found if (c.start, c.end) in wanted}
-            steps.append((len(tokens), found, truth))
+            inside = sum(tokens[0][0] <= a < tokens[-1][1] for a, _ in wanted)
+            if len(truth) == inside:  # else a labelled span is no candidate, and the rest would count as negative
+                steps.append((len(tokens), found, truth))
     weights, squares = np.zeros((len(KINDS), len(FEATURES))), np.full((len(KINDS), len(FEATURES)), 1e-6)
     weights[:, 0] = -1.0
     for _ in range(epochs):

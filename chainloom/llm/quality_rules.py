@@ -3,8 +3,9 @@
 Rule statistics come from the whole text.  For each rule and stratum (documents
 by number of words) a cutoff is chosen on labelled documents.  A cutoff is safe
 if the exact binomial (Clopper-Pearson) upper bound on the share of good documents
-it rejects is at most ``risk``.  The error is shared out over strata and rules
-(Bonferroni); within a rule the grid is tested in a fixed sequence from lax to
+it rejects is at most its part of ``risk``.  Risk and error are shared out over the
+rules, the error over strata too (Bonferroni), so all rules together reject at most
+``risk`` of the good documents of each stratum, at confidence 1 - ``error``.  Within a rule the grid is tested in a fixed sequence from lax to
 strict that stops at the first cutoff that isn't safe.  A rule without a safe
 cutoff is off in that stratum.
 
@@ -120,12 +121,12 @@ def fit_cutoffs(stats: DataFrame, labels: DataFrame, risk: float = 0.02, error:
     good = stats.join(known.select("doc_id"), "doc_id", "left_semi").where(~base_failed())
     counts = [F.count("*").alias("n")]
     counts += [F.count_if(F.expr(f"{stat} > {c}")).alias(f"{rule}_{k}") for rule, (stat, grid) in RULES.items() for k, c in enumerate(grid)]
-    each = error / (len(STRATA) * len(RULES))
+    each, part = error / (len(STRATA) * len(RULES)), risk / len(RULES)
     out = {}
     for row in good.groupBy(_stratum().alias("stratum")).agg(*counts).collect():
         for rule, (_, grid) in RULES.items():
             for k in range(len(grid) - 1, -1, -1):
-                if risk_exceeds(row[f"{rule}_{k}"], row["n"], risk, each):
+                if risk_exceeds(row[f"{rule}_{k}"], row["n"], part, each):
                     break
                 out[row["stratum"], rule] = grid[k]
     return out
