@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -19,7 +20,7 @@ import numpy as np
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: All other white space but blank and line feed.
 RARE_SPACE = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_PIECES = 1_000_000
+MAX_PIECES = 1_200_000
 #: Pieces that are joined for one call.
 GROUP = 300
 
@@ -48,14 +49,14 @@ class Encoder:
         if len(self.pieces) > MAX_PIECES:
             self.pieces.clear()
         parts = [None if any(x in t for x in self.direct_only) else self.split(t) for t in texts]
-        missing: set[str] = set()
-        for p in parts:
-            if p:
-                missing |= set(p).difference(self.pieces)
-        if missing:
-            self.learn(missing)
-        get = self.pieces.__getitem__
-        return [self.direct(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts)]
+        made = [p and list(map(self.pieces.get, p)) for p in parts]
+        gaps = [(m, p, [i for i, x in enumerate(m) if x is None]) for m, p in zip(made, parts) if m and None in m]
+        if gaps:
+            self.learn({p[i] for _, p, at in gaps for i in at})
+            for m, p, at in gaps:
+                for i in at:
+                    m[i] = self.pieces[p[i]]
+        return [self.direct(t) if m is None else b"".join(m) for t, m in zip(texts, made)]
 
 
 class ByteLevelEncoder(Encoder):
@@ -145,8 +146,12 @@ class WordEndEncoder(Encoder):
             self.pieces[p] = b"".join(map(get, simple[p])) if p in simple else self.direct(p)
 
 
+@lru_cache(maxsize=4)
 def load_encoder(path: str) -> Encoder:
-    """The encoder for a ``tokenizers`` file; kinds other than these two are refused."""
+    """The encoder for a ``tokenizers`` file; kinds other than these two are refused.
+
+    A process keeps it, so the tasks of one Python worker share what was learned.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 

@@ -48,18 +48,17 @@ class WaveletMatrix:
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
-        ids = np.asarray(ids, np.uint32)
         depth = max(1, int(ids.max()).bit_length()) if len(ids) else 1
-        planes = []
+        ids, planes = np.asarray(ids).astype(np.uint16 if depth <= 16 else np.uint32), []
         for shift in range(depth - 1, -1, -1):
-            bit = (ids >> np.uint32(shift)) & np.uint32(1) == 1
+            bit = (ids & ids.dtype.type(1 << shift)) != 0
             packed = np.packbits(bit, bitorder="little")
             padded = np.zeros(-(-len(bit) // BLOCK) * BLOCK, bool)
             padded[: len(bit)] = bit
             ranks = np.zeros(len(padded) // BLOCK + 1, np.uint32)
             np.cumsum(padded.reshape(-1, BLOCK).sum(1), out=ranks[1:])
             planes.append((int(len(bit) - bit.sum()), ranks, packed))
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            ids = np.concatenate([np.compress(~bit, ids), np.compress(bit, ids)])
         return cls(len(ids), planes)
 
     def _ones(self, plane, i: int) -> int:
@@ -124,14 +123,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """All ids in order: planes are undone from the last to the first."""
-        out = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        out = np.zeros(self.n, kind)
         for level, (zeros, _, packed) in enumerate(reversed(self.planes)):
             bit = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
-            before = np.empty(self.n, np.uint32)
+            before = np.empty(self.n, kind)
             before[~bit] = out[:zeros]
-            before[bit] = out[zeros:] | np.uint32(1 << level)
+            before[bit] = out[zeros:] | kind(1 << level)
             out = before
-        return out
+        return out.astype(np.uint32)
 
 
 def to_file(ids: np.ndarray, doc_ids: list, lengths: list) -> bytes:
