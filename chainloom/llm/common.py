@@ -95,7 +95,7 @@ def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
 class BoundedCache(dict):
     """``cache[key]`` computes and keeps; emptied at ``limit`` entries, so memory stays bounded."""
 
-    def __init__(self, make, limit: int = 400_000):
+    def __init__(self, make, limit: int = 250_000):
         super().__init__()
         self.make, self.limit = make, limit
 

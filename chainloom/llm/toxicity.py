@@ -1,8 +1,8 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Words are runs of word characters, lower-cased.  A document's features are its
-distinct hashed unigrams, adjacent pairs and one-word skip pairs, over the words
-and over their leading stems (a stem lets inflected forms share evidence).
+distinct hashed unigrams, adjacent pairs and one-word skip pairs, and the hashed
+leading stems of its words (a stem lets inflected forms share evidence).
 Per-coordinate rates and the L1 term leave few non-zero weights, so what goes to
 the executors is a pair of small arrays whose size is checked.
 
@@ -44,11 +44,11 @@ class Features:
         n = sum(counts)
         doc = np.repeat(np.arange(len(texts)), counts)
         out_d, out_f = [], []
-        for cache, salt in ((self.words, 1), (self.stems, 101)):
+        for cache, salt, gaps in ((self.words, 1, (1, 2)), (self.stems, 101, ())):
             h = np.fromiter((cache[w] for ws in found for w in ws), np.uint64, n)
             out_d.append(doc)
             out_f.append(mix(h + np.uint64(salt)))
-            for gap in (1, 2):
+            for gap in gaps:
                 same = doc[:-gap] == doc[gap:] if n > gap else np.zeros(0, bool)
                 a, b = h[: max(0, n - gap)][same], h[gap:][same] if n > gap else h[:0]
                 out_d.append(doc[: max(0, n - gap)][same])
