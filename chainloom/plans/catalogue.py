@@ -430,11 +430,11 @@ def _normal_sql(deep: bool) -> str:
     return f", normal AS (SELECT package, version, {', '.join(out)} FROM sig)"
 
 
-@query(with_views(SIG_VIEWS, _signals_sql(COMPAT) + MAD + _normal_sql(True) + " SELECT package, version, " + ", ".join(f"round({s}, 3) AS {s}" for s in fragility.SIGNALS) + " FROM normal"))
+@query(with_views(SIG_VIEWS, _signals_sql(COMPAT) + MAD + _normal_sql(True) + " SELECT package, version, " + ", ".join(f"round({s}, 4) AS {s}" for s in fragility.SIGNALS) + " FROM normal"))
 def signals_normalized(spark, sf):
     sig = graph.cut_lineage(_signals(spark, sf))
     out = fragility.normalised(sig, fragility.mad_baseline(_long(sig), "package", "signal"))
-    return out.select("package", "version", *[F.round(s, 3).alias(s) for s in fragility.SIGNALS])
+    return out.select("package", "version", *[F.round(s, 4).alias(s) for s in fragility.SIGNALS])
 
 
 _TERMS = [f"{w}::DOUBLE * {s}" for s, w in fragility.scoring.WEIGHTS.items()] + [f"{w}::DOUBLE * {a} * {b}" for (a, b), w in fragility.scoring.INTERACTIONS.items()]
