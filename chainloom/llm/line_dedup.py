@@ -83,13 +83,13 @@ def _segments(n: str, edits: int) -> list[tuple[str, str]]:
     return [(f"({i} * {short} + greatest(0, {i} - {k} + {extra}))", f"({short} + if({i} >= {k} - {extra}, 1, 0))") for i in range(k)]
 
 
-def _key(salt: str, n: str, i: int, start: str, length: str, rest: bool) -> str:
-    key = f"xxhash64({salt}, {n}, {i}, substring(line, {start} + 1, {length}))"
-    return f"struct({key} AS key, concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest)" if rest else key
+def _key(salt: str, n: str, i: int, start: str, length: str, rest: bool, probe: bool) -> str:
+    more = f"concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest" if rest else f"{'false' if not probe else 'true'} AS probe"
+    return f"struct(xxhash64({salt}, {n}, {i}, substring(line, {start} + 1, {length})) AS key, {more})"
 
 
 def index_keys(edits: int, rest: bool = False) -> str:
-    return "array(" + ", ".join(_key("salt", "n", i, s, w, rest) for i, (s, w) in enumerate(_segments("n", edits))) + ")"
+    return "array(" + ", ".join(_key("salt", "n", i, s, w, rest, False) for i, (s, w) in enumerate(_segments("n", edits))) + ")"
 
 
 def probe_keys(edits: int, rest: bool = False) -> str:
@@ -100,8 +100,8 @@ def probe_keys(edits: int, rest: bool = False) -> str:
         for i, (s, w) in enumerate(_segments(n, edits)):
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + edits - i) + 1):
                 start = f"({s} + {shift})"
-                out.append(f"if({start} >= 0 AND {start} + {w} <= n AND {n} > {edits}, {_key('salt', n, i, start, w, rest)}, NULL)")
-    return "filter(array(" + ", ".join(out) + "), k -> k IS NOT NULL)"
+                out.append(f"if({start} >= 0 AND {start} + {w} <= n AND {n} > {edits}, {_key('salt', n, i, start, w, rest, True)}, NULL)")
+    return "array(" + ", ".join(out) + ")"
 
 
 def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -109,8 +109,10 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
     at = lines.select("name", "line", F.lit(0).cast("long").alias("salt"), F.length("line").alias("n"), F.lit(True).alias("i"), F.lit(True).alias("p"))
     out = None
     for level in range(max_levels + 1):
-        index = at.where("i").select("name", F.explode(F.expr(index_keys(edits))).alias("key"))
-        probe = at.where("p").select("name", F.explode(F.expr(probe_keys(edits))).alias("key"))
+        # The texts are walked once; both sides' keys are kept in one narrow table.
+        both = F.expr(f"if(i AND p, concat({index_keys(edits)}, {probe_keys(edits)}), if(i, {index_keys(edits)}, {probe_keys(edits)}))") if level else F.expr(f"concat({index_keys(edits)}, {probe_keys(edits)})")
+        keys = cut(at.select("name", "salt", F.explode(both).alias("k")).where("k IS NOT NULL").select("name", "salt", "k.key", "k.probe"), "keys")
+        index, probe = keys.where("NOT probe"), keys.where("probe")
         many = None
         if level < max_levels:
             many = cut(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot")
@@ -119,16 +121,14 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
             else:
                 many = small(many)
         cool = index if many is None else index.join(many, "key", "left_anti")
-        pairs = cool.withColumnRenamed("name", "p").join(probe.withColumnRenamed("name", "q"), "key").where("p <> q").select("p", "q")
+        pairs = cool.select(F.col("name").alias("p"), "key").join(probe.select(F.col("name").alias("q"), "key"), "key").where("p <> q").select("p", "q")
         out = pairs if out is None else out.unionAll(pairs)
         if many is None:
             break
         rows = []
-        for side, keys in (("i", index_keys(edits, True)), ("p", probe_keys(edits, True))):
-            whose = at.where(side)
-            plain = whose.select("name", "salt", F.explode(F.expr(index_keys(edits) if side == "i" else probe_keys(edits))).alias("key"))
-            touched = plain.join(many, "key", "left_semi").select("name", "salt").distinct()
-            grown = whose.join(touched, ["name", "salt"], "left_semi").select("name", F.explode(F.expr(keys)).alias("k"))
+        for side, rest in (("i", index_keys(edits, True)), ("p", probe_keys(edits, True))):
+            touched = (index if side == "i" else probe).join(many, "key", "left_semi").select("name", "salt").distinct()
+            grown = at.where(side).join(touched, ["name", "salt"], "left_semi").select("name", F.explode(F.expr(rest)).alias("k")).where("k IS NOT NULL")
             grown = grown.select("name", F.col("k.key").alias("key"), F.col("k.rest").alias("line")).join(many, "key", "left_semi")
             rows.append(grown.select("name", "line", F.col("key").alias("salt"), F.length("line").alias("n"), F.lit(side == "i").alias("i"), F.lit(side == "p").alias("p")))
         at = cut(rows[0].unionAll(rows[1]), "split")
