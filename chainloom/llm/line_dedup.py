@@ -84,7 +84,7 @@ def _segments(n: str, edits: int) -> list[tuple[str, str]]:
 
 
 def _key(salt: str, n: str, i: int, start: str, length: str, rest: bool, probe: bool) -> str:
-    more = f"concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest" if rest else f"{'false' if not probe else 'true'} AS probe"
+    more = f"concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest" if rest else f"{'false' if not probe else 'true'} AS probe, {n} - {length} AS rest_n"
     return f"struct(xxhash64({salt}, {n}, {i}, substring(line, {start} + 1, {length})) AS key, {more})"
 
 
@@ -111,11 +111,13 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
     for level in range(max_levels + 1):
         # The texts are walked once; both sides' keys are kept in one narrow table.
         both = F.expr(f"if(i AND p, concat({index_keys(edits)}, {probe_keys(edits)}), if(i, {index_keys(edits)}, {probe_keys(edits)}))") if level else F.expr(f"concat({index_keys(edits)}, {probe_keys(edits)})")
-        keys = cut(at.select("name", "salt", F.explode(both).alias("k")).where("k IS NOT NULL").select("name", "salt", "k.key", "k.probe"), "keys")
+        keys = cut(at.select("name", "salt", F.explode(both).alias("k")).where("k IS NOT NULL").select("name", "salt", "k.key", "k.probe", "k.rest_n"), "keys")
         index, probe = keys.where("NOT probe"), keys.where("probe")
         many = None
         if level < max_levels:
-            many = cut(index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("key"), "hot")
+            # A key fixes the length of what is left, and that must still have room for segments.
+            sizes = index.groupBy("key").agg(F.count("*").alias("c"), F.min("rest_n").alias("rest_n"))
+            many = cut(sizes.where((F.col("c") > hot) & (F.col("rest_n") >= 2 * (edits + 1))).select("key"), "hot")
             if many.isEmpty():
                 many = None
             else:
