@@ -56,6 +56,16 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession) -> bool:
+    """Delete all tables that ``cut`` and the token files left in the shared folder.
+
+    Call it when their results are written; a DataFrame that still reads one fails afterwards.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/chainloom")
+    return path.getFileSystem(conf).delete(path, True)
+
+
 def one_row_per_id(df: DataFrame, key: str, *values: str) -> DataFrame:
     """Labels with repeated ids: the greatest value of each column counts."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(v).alias(v) for v in values])

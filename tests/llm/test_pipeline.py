@@ -46,3 +46,11 @@ def test_stages(spark, tmp_path):
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {1001}
     assert set(seen["packing"]) == set(seen["decontamination"])
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
+
+
+def test_sweep(spark):
+    from chainloom.llm.common import cut, sweep
+
+    assert cut(spark.range(3)).count() == 3
+    assert sweep(spark)
+    assert cut(spark.range(3)).count() == 3
