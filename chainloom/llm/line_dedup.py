@@ -59,6 +59,7 @@ def small(df: DataFrame) -> DataFrame:
 def exact_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes."""
     seen = lines_of(docs, min_chars).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no", name_in_doc(F.col("line_no"), F.col("line")).alias("o"))
+    seen = cut(seen, "seen")  # the texts are split and hashed once, not for each side of the join
     place = F.struct("doc", "line_no")
     first = seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     return seen.join(first, ["a", "b"]).where(place != F.col("first")).select("doc", "o")
