@@ -84,16 +84,16 @@ def _segments(n: str, edits: int) -> list[tuple[str, str]]:
     return [(f"({i} * {short} + greatest(0, {i} - {k} + {extra}))", f"({short} + if({i} >= {k} - {extra}, 1, 0))") for i in range(k)]
 
 
-def _key(salt: str, n: str, i: int, start: str, length: str, rest: bool, probe: bool) -> str:
-    more = f"concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest" if rest else f"{'false' if not probe else 'true'} AS probe, {n} - {length} AS rest_n"
-    return f"struct(xxhash64({salt}, {n}, {i}, substring(line, {start} + 1, {length})) AS key, {more})"
+def _key(n: str, i: int, start: str, length: str, rest: bool) -> str:
+    key = f"xxhash64(salt, {n}, {i}, substring(line, {start} + 1, {length}))"
+    return f"struct({key} AS key, concat(left(line, {start}), substring(line, {start} + {length} + 1)) AS rest)" if rest else key
 
 
-def index_keys(edits: int, rest: bool = False) -> str:
-    return "array(" + ", ".join(_key("salt", "n", i, s, w, rest, False) for i, (s, w) in enumerate(_segments("n", edits))) + ")"
+def index_keys(edits: int, rest: bool = False) -> list[str]:
+    return [_key("n", i, s, w, rest) for i, (s, w) in enumerate(_segments("n", edits))]
 
 
-def probe_keys(edits: int, rest: bool = False) -> str:
+def probe_keys(edits: int, rest: bool = False) -> list[str]:
     """Keys under which shorter or equal lines within ``edits`` are found; null where a place lies outside."""
     out = []
     for delta in range(edits + 1):
@@ -101,8 +101,12 @@ def probe_keys(edits: int, rest: bool = False) -> str:
         for i, (s, w) in enumerate(_segments(n, edits)):
             for shift in range(max(-i, delta - (edits - i)), min(i, delta + edits - i) + 1):
                 start = f"({s} + {shift})"
-                out.append(f"if({start} >= 0 AND {start} + {w} <= n AND {n} > {edits}, {_key('salt', n, i, start, w, rest, True)}, NULL)")
-    return "array(" + ", ".join(out) + ")"
+                out.append(f"if({start} >= 0 AND {start} + {w} <= n AND {n} > {edits}, {_key(n, i, start, w, rest)}, NULL)")
+    return out
+
+
+def _array(entries: list[str]) -> str:
+    return f"array({', '.join(entries)})"
 
 
 def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: int = MAX_LEVELS) -> DataFrame:
@@ -111,8 +115,12 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
     out = None
     for level in range(max_levels + 1):
         # The texts are walked once; both sides' keys are kept in one narrow table.
-        both = F.expr(f"if(i AND p, concat({index_keys(edits)}, {probe_keys(edits)}), if(i, {index_keys(edits)}, {probe_keys(edits)}))") if level else F.expr(f"concat({index_keys(edits)}, {probe_keys(edits)})")
-        keys = cut(at.select("name", "salt", F.explode(both).alias("k")).where("k IS NOT NULL").select("name", "salt", "k.key", "k.probe", "k.rest_n"), "keys")
+        on, off = index_keys(edits), probe_keys(edits)
+        if level:  # rows are of one side
+            on, off = [f"if(i, {k}, NULL)" for k in on], [f"if(p, {k}, NULL)" for k in off]
+        rest_n = F.expr("CASE pos " + " ".join(f"WHEN {i} THEN n - {w}" for i, (_, w) in enumerate(_segments("n", edits))) + " END")
+        keys = at.select("name", "salt", "n", F.posexplode(F.expr(_array(on + off))).alias("pos", "key")).where("key IS NOT NULL")
+        keys = cut(keys.select("name", "salt", "key", (F.col("pos") > edits).alias("probe"), rest_n.alias("rest_n")), "keys")
         index, probe = keys.where("NOT probe"), keys.where("probe")
         many = None
         if level < max_levels:
@@ -129,7 +137,7 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
         if many is None:
             break
         rows = []
-        for side, rest in (("i", index_keys(edits, True)), ("p", probe_keys(edits, True))):
+        for side, rest in (("i", _array(index_keys(edits, True))), ("p", _array(probe_keys(edits, True)))):
             touched = (index if side == "i" else probe).join(many, "key", "left_semi").select("name", "salt").distinct()
             grown = at.where(side).join(touched, ["name", "salt"], "left_semi").select("name", F.explode(F.expr(rest)).alias("k")).where("k IS NOT NULL")
             grown = grown.select("name", F.col("k.key").alias("key"), F.col("k.rest").alias("line")).join(many, "key", "left_semi")
