@@ -20,7 +20,7 @@ import numpy as np
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: All other white space but blank and line feed.
 RARE_SPACE = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_PIECES = 1_200_000
+MAX_PIECES = 1_000_000
 #: Pieces that are joined for one call.
 GROUP = 300
 
@@ -114,36 +114,41 @@ class ByteLevelEncoder(Encoder):
 
 
 class WordEndEncoder(Encoder):
-    """BPE with word ends: white space is dropped, a piece is a run of non-space."""
+    """BPE with word ends: texts are lower-cased, white space is dropped.
 
-    #: Characters that compose and lower-case alike everywhere.
-    SIMPLE = re.compile("[!-~À-ÖØ-öø-ÿ]+")
-    #: The contractions of the vocabulary's word pattern.
-    UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+    A text of Latin-1 characters (they compose and lower-case alike everywhere)
+    falls apart into the units of the vocabulary's own word pattern; another one
+    into runs of non-space, each encoded on its own.
+    """
+
+    #: The contractions and character classes of the vocabulary's word pattern, within Latin-1.
+    UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|[^\\sa-zªµºß-öø-ÿ0-9²³¹¼-¾]+")
 
     def __init__(self, tokenizer, specials):
         super().__init__(tokenizer, specials)
-        self.units: dict[str, bytes] = {}
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
     def split(self, text):
-        return text.split()
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.split()
+        return self.UNIT.findall(text.lower())
 
     def learn(self, missing):
-        if len(self.units) > MAX_PIECES:
-            self.units.clear()
-        simple = {p: self.UNIT.findall(p.lower()) for p in missing if self.SIMPLE.fullmatch(p)}
-        units = list({u for us in simple.values() for u in us} - self.units.keys())
+        units = []
+        for p in missing:
+            if self.UNIT.fullmatch(p):
+                units.append(p)
+            else:
+                self.pieces[p] = self.direct(p)
         for at in range(0, len(units), GROUP):
             group = units[at : at + GROUP]
             ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             made = [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else map(self.direct, group)
-            self.units.update(zip(group, made))
-        get = self.units.__getitem__
-        for p in missing:
-            self.pieces[p] = b"".join(map(get, simple[p])) if p in simple else self.direct(p)
+            self.pieces.update(zip(group, made))
 
 
 @lru_cache(maxsize=4)
