@@ -126,6 +126,12 @@ class WordEndEncoder(Encoder):
 
     def __init__(self, tokenizer, specials):
         super().__init__(tokenizer, specials)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+        # For units, which are split and lower-cased already: the same model without the patterns.
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         self.ends = np.zeros(tokenizer.get_vocab_size(), bool)
         self.ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -145,7 +151,7 @@ class WordEndEncoder(Encoder):
                 self.pieces[p] = self.direct(p)
         for at in range(0, len(units), GROUP):
             group = units[at : at + GROUP]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.asarray(self.plain.encode_batch_fast([" ".join(group)], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             made = [ids[a:b].tobytes() for a, b in zip([0, *cuts], cuts)] if len(cuts) == len(group) else map(self.direct, group)
             self.pieces.update(zip(group, made))
