@@ -13,6 +13,7 @@ both classes every score is 0.5.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
 
@@ -20,32 +21,54 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
+from .common import CHUNK_CHARS, chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
 
 BUCKETS = 1 << 17
 DIM = 12
 GRAMS = (3, 4)
-#: A longer "word" is a run of junk; its head decides.
-MAX_WORD = 48
+#: Longer words count in full, but aren't cached.
+CACHED_WORD = 48
 MAX_WORDS = 400_000
 #: Marker features, weighted by their number.
 MARKS = ("\x00again", "\x00line")
 
 
-def subwords(words: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(index of the word, bucket) of each word and of its character n-grams with boundary marks."""
-    joined = "".join(f"<{w[:MAX_WORD]}>" for w in words)
-    points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    word = np.repeat(np.arange(len(words)), [min(len(w), MAX_WORD) + 2 for w in words])
-    outs = [(np.arange(len(words)), np.fromiter((hash_text(w[:MAX_WORD]) for w in words), np.uint64, len(words)))]
-    for n in GRAMS:
-        if len(points) >= n:
-            h = np.full(len(points) - n + 1, n, np.uint64)
-            for k in range(n):
-                h = h * np.uint64(0x100000001B3) + points[k : len(points) - n + 1 + k]
-            same = word[: len(h)] == word[n - 1 :]
-            outs.append((word[: len(h)][same], mix(h[same])))
-    return np.concatenate([w for w, _ in outs]), (np.concatenate([h for _, h in outs]) % np.uint64(buckets)).astype(np.int64)
+def ngrams(points: np.ndarray, n: int) -> np.ndarray:
+    h = np.full(len(points) - n + 1, n, np.uint64)
+    for k in range(n):
+        h = h * np.uint64(0x100000001B3) + points[k : len(points) - n + 1 + k]
+    return mix(h)
+
+
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def subwords(words: list[str], buckets: int = BUCKETS, limit: int = CHUNK_CHARS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(index of the word, bucket) of each whole word and of all its character n-grams with boundary marks.
+
+    They come in parts of about ``limit`` characters; a longer word is walked in overlapping pieces.
+    """
+    for lo, hi in chunks(words, limit):
+        outs = [(np.arange(lo, hi), np.fromiter((hash_text(w) for w in words[lo:hi]), np.uint64, hi - lo))]
+        joined = "".join(f"<{w}>" for w in words[lo:hi])
+        word = np.repeat(np.arange(lo, hi), [len(w) + 2 for w in words[lo:hi]]) if hi - lo > 1 else None
+        step = limit if word is None else len(joined)
+        for start in range(0, len(joined), step):
+            points = code_points(joined[start : start + step + max(GRAMS) - 1])
+            for n in GRAMS:
+                own = points[: step + n - 1]
+                if len(own) >= n:
+                    h = ngrams(own, n)
+                    if word is None:
+                        outs.append((np.full(len(h), lo), h))
+                    else:
+                        same = word[: len(h)] == word[n - 1 :]
+                        outs.append((word[: len(h)][same], h[same]))
+            if not outs:
+                break
+            yield np.concatenate([w for w, _ in outs]), (np.concatenate([h for _, h in outs]) % np.uint64(buckets)).astype(np.int64)
+            outs = []
 
 
 def markers(text: str) -> tuple[list[str], int, int]:
@@ -78,13 +101,17 @@ class QualityModel:
             found = [markers(t) for t in texts]
             missing = list(set().union(*(f[0] for f in found)) - known.keys())
             if missing:
-                w, f = subwords(missing, buckets)
-                sums = np.bincount(w, value[f], len(missing)) + 1j * np.bincount(w, minlength=len(missing))
+                sums = np.zeros(len(missing), complex)
+                for w, f in subwords(missing, buckets):
+                    sums += np.bincount(w, value[f], len(missing)) + 1j * np.bincount(w, minlength=len(missing))
                 known.update(zip(missing, sums.tolist()))
             z = np.zeros(len(texts))
             for i, (words, n_again, n_lines) in enumerate(found):
                 s = sum(map(known.__getitem__, words), 0j)
                 z[i] = (s.real + n_again * again + n_lines * line) / max(1.0, s.imag + n_again + n_lines) + self.bias
+            for w in missing:
+                if len(w) > CACHED_WORD:
+                    del known[w]
             return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
         return score
@@ -99,9 +126,11 @@ def fit_embeddings(rows: list, epochs: int = 4, rate: float = 4.0, dim: int = DI
     each = []
     for _, text, _ in rows:
         words, n_again, n_lines = markers(text)
-        f = np.concatenate([subwords(words, buckets)[1], np.full(n_again, again), np.full(n_lines, line)]) if words else np.zeros(0, np.int64)
-        u, c = np.unique(f, return_counts=True)
-        each.append((u, (c / max(1, len(f))).astype(np.float32)))
+        parts = [np.unique(f, return_counts=True) for _, f in subwords(words, buckets)] + [(np.array([again, line]), np.array([n_again, n_lines]))]
+        u, at = np.unique(np.concatenate([f for f, _ in parts]), return_inverse=True)
+        c = np.bincount(at, np.concatenate([n for _, n in parts]), len(u))
+        u, c = u[c > 0], c[c > 0]
+        each.append((u, (c / max(1, c.sum())).astype(np.float32)))
     draw = np.random.default_rng(seed)
     vectors = draw.normal(0, 1 / dim, (buckets, dim)).astype(np.float32)
     out, bias = draw.normal(0, 0.1, (dim, 2)).astype(np.float32), np.log([1 - np.mean(y), np.mean(y)]).astype(np.float32)

@@ -116,3 +116,16 @@ def test_pii(spark):
     assert rows[1]["spans"] == rows[2]["spans"] == "" and rows[1]["base_sha256"].startswith("e3b0c442")
     assert rows[4]["spans"] == "phone:5:19" and rows[5]["spans"] == ""
     assert pii.redact(docs, model).collect()[4]["text"] == "call <phone> today"
+
+
+def test_words_count_as_wholes():
+    """A text without white space is one word; all of it is scored and learnt from."""
+    head, draw = "x" * 60, np.random.default_rng(1)
+    rows = [(i, head + ("good" if i % 2 else "evil") * 30, i % 2) for i in range(40)]
+    score = quality_model.fit_embeddings(rows).scorer()
+    good, evil = score([head + "good" * 50, head + "evil" * 50])
+    assert good > 0.9 and evil < 0.1
+    words = ["".join(map(chr, draw.integers(0x4E00, 0x4E40, n))) for n in (1, 2, 100, 5, 47, 48, 49, 1_000)]
+    whole, parts = ([np.concatenate(x) for x in zip(*quality_model.subwords(words, limit=limit))] for limit in (10**6, 48))
+    for k in range(len(words)):
+        assert sorted(whole[1][whole[0] == k]) == sorted(parts[1][parts[0] == k]) and sum(whole[0] == k) == 1 + (len(words[k]) + 2 - 2) + max(0, len(words[k]) + 2 - 3)
