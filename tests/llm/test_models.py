@@ -129,3 +129,30 @@ def test_words_count_as_wholes():
     whole, parts = ([np.concatenate(x) for x in zip(*quality_model.subwords(words, limit=limit))] for limit in (10**6, 48))
     for k in range(len(words)):
         assert sorted(whole[1][whole[0] == k]) == sorted(parts[1][parts[0] == k]) and sum(whole[0] == k) == 1 + (len(words[k]) + 2 - 2) + max(0, len(words[k]) + 2 - 3)
+
+
+def test_languages_of_many_scripts(monkeypatch):
+    """Languages in scripts of their own stay apart, also past 96 letters, and when little may be kept."""
+    draw = np.random.default_rng(3)
+    starts = [0x4E00 + 10 * k for k in range(12)]
+
+    def text(k):
+        return " ".join("".join(map(chr, draw.integers(starts[k], starts[k] + 10, 3))) for _ in range(30))
+
+    model = language.fit_profiles([(i, text(i % 12), f"l{i % 12:02}") for i in range(120)])
+    texts, want = [text(i % 12) for i in range(60)], [f"l{i % 12:02}" for i in range(60)]
+    got, score = model.predict()(texts)
+    assert got == want
+    monkeypatch.setattr(language, "KEPT_BYTES", 0)
+    monkeypatch.setattr(language, "PENDING", 100)
+    monkeypatch.setattr(language, "KEPT_LETTERS", 7)
+    again, same = model.predict()(texts)
+    assert again == want and np.allclose(score, same, atol=1e-6)
+
+
+def test_no_language_is_left_out(spark):
+    """More than 200 labelled languages; each has one text of letters of its own."""
+    rows = [(i, chr(0x4E00 + i) * 3, f"l{i:03}") for i in range(300) if fold_of_value(i, 4) != 2]
+    model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
+    assert len(rows) > 200 and model.languages == [r[2] for r in rows]
+    assert model.predict()([r[1] for r in rows])[0] == [r[2] for r in rows]
