@@ -10,19 +10,22 @@ Items go to the executors in blocks of bounded size; each block is matched
 against all documents.
 
 Defined results: null or empty texts and items match nothing; items shorter than
-``min_chars`` are no evidence and are left out; repeated items count by id, and
-repeated documents are reported each; of equally good places the first counts.
+``min_chars`` are no evidence and are left out; items that share an id (a null id
+too) but not the text are all searched, and for each id the closest counts, the
+least text of equally close ones; repeated documents are reported each; of equally
+good places the first counts.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import hash_text, texts_of
 
 RATE = 0.06
 MIN_CHARS = 30
@@ -63,7 +66,7 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
 
 @dataclass
 class Matcher:
-    items: dict  # id -> normal text
+    items: dict  # any key, such as (id, normal text) -> normal text
     rate: float = RATE
     automaton: object = field(default=None, repr=False)
 
@@ -124,38 +127,50 @@ def merged(starts: list[int], m: int, k: int) -> list[tuple[int, int]]:
 
 def item_blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS):
     """The items as dictionaries of about ``block_chars`` characters at most."""
-    items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = -(-total // block_chars)
     for b in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else items
-        out = {}
-        for r in rows.toLocalIterator():
-            text = normal(r["text"])
-            if len(text) >= min_chars:
-                out[r["item_id"]] = min(text, out.get(r["item_id"], text))
-        yield out
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
+        texts = ((r["item_id"], normal(r["text"])) for r in rows.toLocalIterator())
+        yield {(i, text): text for i, text in texts if len(text) >= min_chars}
+
+
+def closest(hits: list[tuple]) -> list[tuple]:
+    """Of hits whose items are (id, text), the one of least distance for each id: (id, distance, start, end, item's text)."""
+    best: dict = {}
+    for (item, text), *found in hits:
+        if item not in best or (found[0], text) < best[item][:2]:
+            best[item] = (found[0], text, found)
+    return [(item, *found, text) for item, (_, text, found) in best.items()]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """doc_id, item_id, distance, match_start, match_end (in the normal text) for each item in each document."""
+    """doc_id, item_id, distance, match_start, match_end (in the normal text) for each item id in each document."""
     spark = docs.sparkSession
     schema = "doc_id long, item_id long, distance int, match_start long, match_end long"
+    columns = schema.replace(",", "").split()[::2]
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    out = None
+    parts = []
     for block in item_blocks(benchmark, min_chars, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
             match = Matcher(sent.value, rate)
             for b in batches:
-                rows = [(i, *hit) for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for hit in match(normal(t))]
-                columns = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()))], ["doc_id", "item_id", "distance", "match_start", "match_end"])
-
-        found = picked.mapInArrow(run, schema)
-        out = found if out is None else out.unionAll(found)
-    return spark.createDataFrame([], schema) if out is None else out
+                rows = [(i, *hit, hash_text(t) - (1 << 63)) for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for hit in closest(match(normal(t)))]
+                found = list(zip(*rows)) or [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], [*columns, "item", "said"])
+
+        parts.append(picked.mapInArrow(run, f"{schema}, item string, said long"))
+    if not parts:
+        return spark.createDataFrame([], schema)
+    if len(parts) > 1:  # an id's texts may lie in several blocks; equal rows of a document are counted and stay
+        every = reduce(DataFrame.unionAll, parts).groupBy(*columns, "item", "said").agg(F.count("*").alias("n"))
+        least = every.groupBy("doc_id", "said", "item_id").agg(F.min(F.struct("distance", "item", "match_start", "match_end", "n")).alias("x"))
+        return least.withColumn("again", F.explode(F.sequence(F.lit(1), F.col("x.n").cast("int")))).select("doc_id", "item_id", "x.distance", "x.match_start", "x.match_end")
+    return parts[0].select(*columns)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:

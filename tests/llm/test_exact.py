@@ -245,6 +245,17 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(df, bench.where("false")).count() == 0 and decontaminate.drop_leaks(df.where("false"), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_CHARS, 40])
+def test_items_that_share_an_id(spark, block):
+    """All texts of an id are searched, those of a null id too; the closest counts, and repeated documents stay."""
+    a, b, c = ("the quick brown fox jumps over the lazy dog", "a quite different item with words of its own", "this item has no identifier of any kind at all")
+    bench = spark.createDataFrame([(1, a), (1, b), (1, b), (None, c), (2, a[:-1] + "t")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, a), (2, "x " + b), (2, "x " + b), (3, c), (4, f"{a[:-1]}q {b}"), (5, "nothing")], "doc_id long, text string")
+    got = sorted((tuple(r) for r in decontaminate.find_leaks(docs, bench, block_chars=block).select("doc_id", "item_id", "distance").collect()), key=str)
+    assert got == sorted([(1, 1, 0), (1, 2, 1), (2, 1, 0), (2, 1, 0), (3, None, 0), (4, 1, 0), (4, 2, 1)], key=str)
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench, block_chars=block).collect()] == [5]
+
+
 def rule_row(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at, covered = {}, set()
