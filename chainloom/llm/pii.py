@@ -257,7 +257,7 @@ class PiiModel:
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-def fit_field(texts: list[str], epochs: int = 15, rate: float = 1.0, ridge: float = 1e-4, max_windows: int = 3_000, seed: int = 3) -> PiiModel:
+def fit_field(texts: list[str], epochs: int = 15, rate: float = 1.0, ridge: float = 1e-4, seed: int = 3) -> PiiModel:
     draw = random.Random(seed)
     cases = []
     for text in [*SEEDS * 15, *texts]:
@@ -266,8 +266,6 @@ def fit_field(texts: list[str], epochs: int = 15, rate: float = 1.0, ridge: floa
             near = text[lo:hi]
             spans = base_spans(near)
             cases += [(near, spans), *rewritten(near, spans, draw)]
-        if len(cases) > max_windows:
-            break
     steps = []
     for text, spans in cases:
         wanted = {(a, b): KINDS.index(k) for k, a, b in spans}

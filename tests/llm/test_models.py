@@ -156,3 +156,11 @@ def test_no_language_is_left_out(spark):
     model = language.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_language=10)
     assert len(rows) > 200 and model.languages == [r[2] for r in rows]
     assert model.predict()([r[1] for r in rows])[0] == [r[2] for r in rows]
+
+
+def test_field_learns_from_every_text():
+    """A text with many numbers doesn't use up the others' places."""
+    long, other = "room 12 is free at this very moment " * 3_200, "call (415) 555-2671 or mail a.b@c.org from 10.1.2.3 today"
+    assert sum(1 for _ in pii.neighbourhoods(long)) > 3_000
+    alone, both = (pii.fit_field(texts, epochs=1, seed=3).weights for texts in ([long], [long, other]))
+    assert not np.allclose(alone, both)
