@@ -97,16 +97,18 @@ def blast_radius(edges: DataFrame, name: str, max_nodes: int = MAX_NODES, max_de
     return seen, truncated
 
 
-def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1_000) -> DataFrame:
+def components(edges: DataFrame, nodes: DataFrame, max_rounds: int | None = None) -> DataFrame:
     """(name, scc): strongly connected components, named by their least member.
 
     Nodes without an incoming or outgoing edge are components of their own and
     are trimmed first.  Then labels spread forwards to a fixpoint; what reaches
     the node that gave its label, within the label, is that node's component.
+    Each round finds one component at least, so rounds end by themselves; if
+    ``max_rounds`` is given and edges are left after it, that is an error.
     """
     left = cut_lineage(edges.where("src <> dst").select("src", "dst").distinct())
-    done = None
-    for _ in range(max_rounds):
+    done, rounds = None, 0
+    while True:
         while True:  # trim
             before = left.count()
             if not before:
@@ -117,6 +119,9 @@ def components(edges: DataFrame, nodes: DataFrame, max_rounds: int = 1_000) -> D
                 break
         if left.isEmpty():
             break
+        if rounds == max_rounds:
+            raise RuntimeError(f"components are left after {max_rounds} rounds")
+        rounds += 1
         label = cut_lineage(nodes_of(left).select("name", F.col("name").alias("label")))
         while True:
             sent = left.join(label, left["src"] == label["name"]).groupBy(F.col("dst").alias("name")).agg(F.min("label").alias("sent"))

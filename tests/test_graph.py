@@ -132,3 +132,11 @@ def test_random_graph_completes(spark):
 
     full = {v: walk(v) for v in scc}
     assert all(scc[v] == min([v, *(w for w in full[v] if v in full[w])]) for v in scc)
+
+
+def test_components_are_never_left_over(spark):
+    """A chain of cycles whose least names ascend takes a round for each."""
+    e = edges(spark, "a>b b>a b>c c>d d>c d>e e>f f>e")
+    assert {r["name"]: r["scc"] for r in graph.components(e, graph.nodes_of(e)).collect()} == dict(a="a", b="a", c="c", d="c", e="e", f="e")
+    with pytest.raises(RuntimeError):
+        graph.components(e, graph.nodes_of(e), max_rounds=1).collect()
