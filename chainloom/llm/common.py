@@ -7,6 +7,7 @@ name, so extra columns of any name are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -17,6 +18,10 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step of a Python worker handles.
 CHUNK_CHARS = 1_000_000
+#: Rows of a few numbers up to which a table is broadcast: under 8 MB.
+FEW = 100_000
+#: Characters of a training sample, which the driver holds.
+SAMPLE_CHARS = 100_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +38,12 @@ def fold_of_value(doc_id, folds: int) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a local one only where none is set (tests)."""
+    """The cluster's shared scratch folder; a local one only on a local master where none is set (tests)."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         found = f"file://{tempfile.mkdtemp(prefix='chainloom-')}"
@@ -66,27 +73,61 @@ def sweep(spark: SparkSession) -> bool:
     return path.getFileSystem(conf).delete(path, True)
 
 
+def small(df: DataFrame, weight: Column | None = None, most: int = FEW) -> DataFrame:
+    """Broadcast what was counted and is small; else leave the join to the planner.
+
+    Rows must be of a few numbers or digests; where a row holds a list, ``weight``
+    is the list's length, and the sum of lengths is what counts.
+    """
+    n = df.agg(F.count("*") if weight is None else F.sum(weight + 1)).first()[0]
+    return F.broadcast(df) if (n or 0) <= most else df
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = f"__{name}"
+    while out in taken:
+        out += "_"
+    return out
+
+
 def one_row_per_id(df: DataFrame, key: str, *values: str) -> DataFrame:
     """Labels with repeated ids: the greatest value of each column counts."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(*[F.max(v).alias(v) for v in values])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, max_docs: int) -> list:
-    """At most ``max_docs`` labelled (text, label) rows outside the held-out fold.
+def texts_by_id(docs: DataFrame, drawn: list, max_chars: int) -> dict:
+    """Texts of the first of the ``drawn`` (doc_id, n_chars) whose characters sum up to ``max_chars`` at most.
 
-    The rows are the first by a hash of the id, so the sample is the same at
-    every partitioning.  Rows without a 0/1 label are left out.
+    Where an id repeats, its least text counts.
+    """
+    ids, total = [], 0
+    for doc_id, n in drawn:
+        total += n
+        if total > max_chars and ids:
+            break
+        ids.append((doc_id,))
+    if not ids:
+        return {}
+    spark, text = docs.sparkSession, F.coalesce("text", F.lit(""))
+    wanted = F.broadcast(spark.createDataFrame(ids, docs.select("doc_id").schema))
+    rows = docs.select("doc_id", text.alias("text")).join(wanted, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return {r["doc_id"]: r["text"] for r in rows.toLocalIterator()}
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_fold: int, max_docs: int, max_chars: int = SAMPLE_CHARS) -> list:
+    """At most ``max_docs`` labelled (doc_id, text, label) rows outside the held-out fold, of ``max_chars`` characters in all.
+
+    They are the first by a hash of the id among documents that have a 0/1 label,
+    so the sample is the same at every partitioning.
     """
     known = one_row_per_id(labels.select("doc_id", label), "doc_id", label).where(F.col(label).isin(0, 1))
-    train = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(fold_of("doc_id", folds) != held_fold)
-        .join(known, "doc_id")
-    )
-    ids = known.where(fold_of("doc_id", folds) != held_fold).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
-    rows = train.join(F.broadcast(ids.select("doc_id")), "doc_id", "left_semi")
-    rows = rows.select("doc_id", "text", label).dropDuplicates(["doc_id"])
-    return sorted(((r["doc_id"], r["text"], int(r[label])) for r in rows.toLocalIterator()), key=lambda r: (fold_of_value(r[0], 1 << 31), r[0]))
+    train = docs.where(fold_of("doc_id", folds) != held_fold).select("doc_id", F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    found = train.join(known, "doc_id").groupBy("doc_id", label).agg(F.max("n").alias("n"))
+    drawn = found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    texts, marks = texts_by_id(docs, [(r["doc_id"], r["n"]) for r in drawn], max_chars), {r["doc_id"]: int(r[label]) for r in drawn}
+    return sorted(((i, t, marks[i]) for i, t in texts.items()), key=lambda r: (fold_of_value(r[0], 1 << 31), r[0]))
 
 
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -126,8 +167,7 @@ def kept(model, maker: str):
 
 def hash_text(word: str, seed: int = 0) -> int:
     """64-bit hash, the same in every process."""
-    data = word.encode("utf-8", "surrogatepass")
-    return zlib.crc32(data, seed) << 32 | zlib.crc32(data, seed ^ 0x9E3779B9)
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

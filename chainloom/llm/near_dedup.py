@@ -6,19 +6,22 @@ unbiased signature values.  Bands of ``ROWS`` values bring candidates together.
 
 1. Documents with equal shingle sets form a class (equal 128-bit digests); the
    smallest id stands for it, so copies are never compared.
-2. Classes that share a band are joined into groups by label propagation over
-   ids alone.  A link can only lie within a group.
-3. A small group is settled in one task, a large one is split into blocks and
-   each pair of blocks is settled in a task of its own.  There, signatures rule
-   out pairs (at six standard errors), classes that are connected already are
-   skipped, and the rest is confirmed on full shingle sets.
-4. The confirmed links, a spanning forest for each task, are joined into
-   components by label propagation, and copies follow their class.
+2. In each band, every class is compared on full sets with the least class of
+   that band: work in proportion to the rows, whatever the size of a group.
+3. The links are contracted to components.  Only bands whose classes are still of
+   several components have pairs left.  Their signatures are compared in blocks,
+   each pair of blocks a task of its own; a pair that agrees to within five standard
+   errors, in the first band it shares, is confirmed on full sets.
+4. Components of all links; copies follow their class.
+
+Equality of words and shingles is equality of 64-bit hashes (BLAKE2b of the word,
+mixed); two given ones differ but for a chance of 5e-20.
 
 Defined results: without words, or for a null text, the set is empty and linked
 with nothing, and the document is its own component; rows that share a doc_id
 are one node; with fewer than five words the whole sequence is the one shingle; a
-null doc_id is treated as the smallest id; an empty table gives no rows.
+null doc_id is treated as the smallest id; very long texts are hashed whole, in
+parts; ids must be whole numbers; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, chunks, cut, hash_text, mix, texts_of
+from .common import BoundedCache, chunks, cut, fresh, hash_text, mix, small, texts_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -39,8 +42,12 @@ WIDTH = 5
 PERMUTATIONS = 60
 ROWS = 5
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Classes of a group, or of a block of a larger group.
-BLOCK = 96
+#: Classes of a block of signatures.
+BLOCK = 128
+#: Classes that one copy of a center's text is compared with.
+STAR = 256
+#: Signature values are kept shortened; unequal ones look equal once in 65 536.
+SHORT = np.uint16
 NULL_ID = -(1 << 63)
 
 _draw = np.random.default_rng(20240229)
@@ -85,8 +92,13 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.md5(shingles).digest()
+
+
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc, n_shingles, digest of the set, bands; empty sets have neither digest nor bands."""
+    """doc, n_shingles, digest of the set, bands, signature; empty sets have none of the last three."""
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
 
     def run(batches):
         shingle = Shingler()
@@ -96,112 +108,228 @@ def sketches(docs: DataFrame) -> DataFrame:
                 rows = []
                 for i, t in zip(ids[lo:hi], texts[lo:hi]):
                     s = shingle(t)
-                    rows.append((i, len(s), hashlib.md5(s).digest(), band_keys(signature(s))) if len(s) else (i, 0, None, None))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())))], ["doc", "n_shingles", "digest", "bands"])
+                    if len(s):
+                        sig = signature(s)
+                        rows.append((i, len(s), digest_of(s), band_keys(sig), sig.astype(SHORT).tobytes()))
+                    else:
+                        rows.append((i, 0, None, None, None))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc", "n_shingles", "digest", "bands", "sig"])
 
-    return with_id(docs).mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<long>")
+    return with_id(docs).mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def with_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc"), F.col("text"))
 
 
-def propagate(pairs: DataFrame, spark_name: str = "labels") -> DataFrame:
-    """(node, label): the least node that each node of the edges (node, hub) can reach.
+def components(links: DataFrame) -> DataFrame:
+    """(node, label) of all nodes of the links (a, b); equal labels, one component.
 
-    ``hub`` may be any key that ties nodes together.  Only ids move, and the
-    least label of a hub is combined before it is shuffled.
+    Each round sends every node to the least of itself and its neighbours, by a
+    hash that is drawn anew every other round, and contracts the links: settled
+    nodes are gone from the next round, and stars as well as chains shrink by a
+    share of their nodes.  Only pairs of keys move.
     """
-    at = cut(pairs.distinct().withColumn("label", F.col("node")), spark_name)
-    while True:
-        hubs = at.groupBy("hub").agg(F.min("label").alias("least"))
-        nodes = at.join(hubs, "hub").groupBy("node").agg(F.min("least").alias("new"))
-        new = cut(at.join(nodes, "node").select("node", "hub", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("moved")), spark_name)
-        if new.where("moved").isEmpty():
-            return new.groupBy("node").agg(F.min("label").alias("label"))
-        at = new.drop("moved")
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-
-def links_in(ids: list, texts: list, percent: int, shingle: Shingler, side: list | None = None) -> list[tuple]:
-    """A spanning forest of the links of at least ``percent`` among documents; with ``side``, of those between the sides 0 and 1."""
-    sets = [shingle(t) for t in texts]
-    sigs = np.stack([signature(s) for s in sets]).astype(np.uint32)  # low halves are as good for counting
-    sizes, forest, out = np.array([len(s) for s in sets]), Forest(len(ids)), []
-    share = percent / 100
-    least = 2 * PERMUTATIONS * share - 6 * (2 * PERMUTATIONS * share * (1 - share)) ** 0.5
-    for i in range(1, len(ids)):
-        near = np.flatnonzero(((sigs[:i] == sigs[i]).sum(1) >= least) & (100 * np.minimum(sizes[:i], sizes[i]) >= percent * np.maximum(sizes[:i], sizes[i])))
-        for j in near.tolist():
-            if side is not None and side[i] == side[j]:
-                continue
-            a, b = forest.root(i), forest.root(j)
-            if a == b:
-                continue
-            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-            if 100 * both >= percent * (sizes[i] + sizes[j] - both):
-                forest.up[a] = b
-                out.append((ids[i], ids[j]))
-    return out
+    at, maps = cut(links.where("a <> b").distinct(), "links"), []
+    while not at.isEmpty():
+        drawn = len(maps) // 2
+        order = lambda c, r=drawn: F.struct(F.xxhash64(F.lit(r), c).alias("h"), F.col(c).alias("to"))
+        both = at.select(F.col("a").alias("node"), F.col("b").alias("v")).unionAll(at.select(F.col("b"), F.col("a")))
+        near = both.groupBy("node").agg(F.min(order("v")).alias("m"))
+        moved = cut(near.select("node", F.least(order("node"), F.col("m"))["to"].alias("to")), "moved")
+        maps.append(moved)
+        lookup = small(moved)
+        to_a, to_b = (lookup.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
+        at = cut(at.join(to_a, "a").join(to_b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "links")
+    if not maps:
+        return links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
+    out = maps[-1].select("node", F.col("to").alias("label"))
+    for earlier in maps[-2::-1]:
+        later = out.select(F.col("node").alias("to"), "label")
+        out = earlier.join(small(later), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
+    return cut(out, "labels")
 
 
-def confirmed_links(members: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b) links between classes; ``members`` has doc, group, size (of the group) and text."""
-    blocks = F.ceil(F.col("size") / block)
-    own = F.pmod(F.xxhash64("doc"), blocks)
-    keyed = members.select("doc", "group", "text", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)).alias("other"))
-    keyed = keyed.select("doc", "text", "own", F.xxhash64("group", F.least("own", "other"), F.greatest("own", "other")).alias("task"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "group")
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(n, "task").sortWithinPartitions("task", "group", "x", "y")
+def overlap(a: np.ndarray, b: np.ndarray) -> int:
+    return len(np.intersect1d(a, b, assume_unique=True))
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two full sets have 100 * intersection >= percent * union."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = overlap(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def pairs_schema(rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["a", "b"])
+
+
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one task and next to each other, by the further columns of the order."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *keys)
 
-    def run(batches):
-        shingle, held, current = Shingler(), [], None
 
-        def settle():
-            if len(held) < 2:
-                return None
-            side = None if held[0][3] == held[0][4] else [int(h[2] == h[4]) for h in held]
-            found = links_in([h[0] for h in held], [h[1] for h in held], percent, shingle, side)
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"]) if found else None
+def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
+    """The links among (center, node) pairs, confirmed on full sets.
 
+    A center is sent once to each part of its nodes (about ``STAR`` of them), and
+    the nodes stream past it, so a task holds one set whatever the group's size.
+    """
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / STAR)).alias("salt")
+    one = pairs.select("center", salt, F.lit(1).alias("rank"), "node", "doc")
+    two = pairs.select("center", salt, F.lit(0).alias("rank"), F.col("center").alias("node"), F.col("center_doc").alias("doc")).distinct()
+    wanted = cut(one.unionAll(two), "wanted")
+    texts = dealt(with_id(docs).join(small(wanted), "doc"), "center", "salt").select("center", "salt", "rank", "node", "text").sortWithinPartitions("center", "salt", "rank")
+
+    def run(batches):
+        shingle, current, center = Shingler(), None, None
         for batch in batches:
-            for doc, text, own, task, x, y, group in zip(*(c.to_pylist() for c in batch.columns)):
-                if (task, group, x, y) != current:
-                    if (r := settle()) is not None:
-                        yield r
-                    held, current = [], (task, group, x, y)
-                held.append((doc, text or "", own, x, y))
-        if (r := settle()) is not None:
-            yield r
+            found = []
+            for key, salt, rank, node, text in zip(*(c.to_pylist() for c in batch.columns)):
+                s = shingle(text or "")
+                if digest_of(s) != node:  # another text of the same id
+                    continue
+                if (key, salt) != current:
+                    current, center = (key, salt), None
+                if rank == 0:
+                    center = s
+                elif center is not None and linked(center, s, percent):
+                    found.append((key, node))
+            yield pairs_schema(found)
+
+    return texts.mapInArrow(run, "a binary, b binary")
+
+
+def groups_of(batches, width: int):
+    """Lists of rows that share their first ``width`` values and follow each other."""
+    held, current = [], None
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:width] != current:
+                if held:
+                    yield held
+                held, current = [], row[:width]
+            held.append(row)
+    if held:
+        yield held
+
+
+def least_agreement(percent: int) -> float:
+    """Signature values that agree, at least, for a pair of ``percent``: five standard errors below the mean."""
+    n, share = 2 * PERMUTATIONS, percent / 100
+    return n * share - 5 * (n * share * (1 - share)) ** 0.5
+
+
+def rest_links(open_: DataFrame, docs: DataFrame, percent: int, block: int) -> DataFrame:
+    """The links left among nodes that share a band but no component yet.
+
+    ``open_``: hub, size, least (its center), node, doc, label, n, bands, sig.  A
+    hub's nodes are dealt in blocks, and each pair of blocks is a task of
+    signatures.  What may be linked there, by signature and size and not seen in an
+    earlier band, goes on with its text and is confirmed on full sets.
+    """
+    blocks = F.ceil(F.col("size") / block)
+    own = F.pmod(F.xxhash64("node"), blocks)
+    keyed = open_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    x, y = F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+    keyed = keyed.select("hub", x, y, "own", "node", "doc", "label", "n", "bands", "sig", (F.col("node") == F.col("least")).alias("center"))
+    least = least_agreement(percent)
+
+    def candidates(batches):
+        for held in groups_of(batches, 3):
+            hub, x, y = held[0][:3]
+            labels = {}
+            label = np.array([labels.setdefault(r[6], len(labels)) for r in held])
+            own, n = np.array([r[3] for r in held]), np.array([r[7] for r in held])
+            bands, center = np.array([r[8] for r in held]), np.array([r[10] for r in held])
+            sigs = np.frombuffer(b"".join(r[9] for r in held), SHORT).reshape(len(held), -1)
+            here, hit = int(np.flatnonzero(bands[0] == hub)[0]), np.zeros(len(held), bool)
+            for i in range(1, len(held)):
+                near = (label[:i] != label[i]) & (100 * np.minimum(n[:i], n[i]) >= percent * np.maximum(n[:i], n[i]))
+                near &= ~(center[:i] | center[i])  # those pairs are settled
+                if x != y:
+                    near &= own[:i] != own[i]
+                at = np.flatnonzero(near)
+                at = at[(sigs[at] == sigs[i]).sum(1) >= least]
+                at = at[(bands[at] == bands[i]).argmax(1) == here]
+                hit[at] = True
+                hit[i] |= len(at) > 0
+            rows = [held[i] for i in np.flatnonzero(hit).tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip((0, 1, 2, 3, 4, 5, 6), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["hub", "x", "y", "own", "node", "doc", "label"])
+
+    wanted = cut(dealt(keyed, "hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(candidates, "hub long, x long, y long, own long, node binary, doc long, label binary"), "wanted")
+    texts = dealt(with_id(docs).join(small(wanted), "doc"), "hub", "x", "y").select("hub", "x", "y", "own", "node", "label", "text").sortWithinPartitions("hub", "x", "y")
+
+    def confirm(batches):
+        shingle = Shingler()
+        for held in groups_of(batches, 3):
+            sets = [(r, shingle(r[6] or "")) for r in held]
+            yield pairs_schema(links_in([(r[4], r[5], r[3], s) for r, s in sets if digest_of(s) == r[4]], percent, held[0][1] != held[0][2]))
+
+    return texts.mapInArrow(confirm, "a binary, b binary")
 
-    return dealt.mapInArrow(run, "a long, b long")
+
+def links_in(rows: list[tuple], percent: int, two_sides: bool = False) -> list[tuple]:
+    """Links among (node, label, side, set) that join different labels: a spanning forest of them."""
+    up: dict = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    sigs = np.stack([signature(r[3]).astype(SHORT) for r in rows]) if rows else np.zeros((0, 1))
+    least, out = least_agreement(percent), []
+    for i in range(1, len(rows)):
+        for j in np.flatnonzero((sigs[:i] == sigs[i]).sum(1) >= least).tolist():
+            if two_sides and rows[i][2] == rows[j][2]:
+                continue
+            a, b = root(rows[i][1]), root(rows[j][1])
+            if a != b and linked(rows[i][3], rows[j][3], percent):
+                up[a] = b
+                out.append((rows[i][0], rows[j][0]))
+    return out
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: links have 100 * intersection >= percent * union."""
     drawn = cut(sketches(docs), "sketches")
-    classes = cut(drawn.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
-    reps = drawn.join(classes.select(F.col("rep").alias("doc"), F.col("digest").alias("d")), "doc", "left_semi").where("digest IS NOT NULL")
-    bands = reps.select(F.col("doc").alias("node"), F.explode("bands").alias("hub"))
-    shared = bands.groupBy("hub").agg(F.count("*").alias("n")).where("n > 1")
-    groups = propagate(bands.join(shared.select("hub"), "hub", "left_semi"), "groups")
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = groups.join(sizes, "label").where("size > 1").select(F.col("node").alias("doc"), F.col("label").alias("group"), "size")
-    texts = members.join(with_id(docs), "doc")
-    links = cut(confirmed_links(texts, percent, block), "links")
-    edges = links.select(F.col("a").alias("node"), F.struct("a", "b").alias("hub")).unionAll(links.select(F.col("b").alias("node"), F.struct("a", "b").alias("hub")))
-    components = propagate(edges, "components").select(F.col("node").alias("rep"), "label")
-    by_class = classes.join(components, "rep", "left").select("digest", F.coalesce("label", "rep").alias("component"))
-    out = drawn.select("doc", "n_shingles", "digest").join(by_class, "digest", "left")
+    full = drawn.where("digest IS NOT NULL")
+    classes = cut(full.groupBy("digest").agg(F.min("doc").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = full.join(classes.select("digest", F.col("rep").alias("doc")), ["digest", "doc"], "left_semi").select(F.col("digest").alias("node"), "doc", F.col("n_shingles").alias("n"), "bands", "sig")
+    reps = cut(reps, "reps")
+
+    # Stars: in each band, every class against the least one.
+    keyed = reps.select("node", "doc", "n", F.explode("bands").alias("hub"))
+    hubs = keyed.groupBy("hub").agg(F.min(F.struct("node", "doc", "n")).alias("c"), F.max("node").alias("most"), F.count("*").alias("size")).where("c.node <> most")
+    hubs = cut(hubs.select("hub", "c", "size"), "hubs")
+    members = keyed.join(small(hubs), "hub")
+    fits = 100 * F.least("n", "c.n") >= percent * F.greatest("n", "c.n")
+    pairs = members.where(fits & (F.col("node") != F.col("c.node"))).groupBy(F.col("c.node").alias("center"), F.col("c.doc").alias("center_doc"), "node", "doc").agg(F.max("size").alias("size"))
+    # Classes that share an id are one node.
+    ids = full.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
+    same = full.select("doc", F.col("digest").alias("b")).join(ids, "doc").select("a", "b").where("a <> b").distinct()
+    links = cut(star_links(pairs, docs, percent).unionAll(same), "stars")
+    found = components(links)
+
+    # The rest: bands of three and more classes that aren't one component yet.
+    labelled = keyed.join(small(hubs.where("size > 2")), "hub").join(small(found), "node", "left").select("hub", "size", F.col("c.node").alias("least"), "node", F.coalesce("label", "node").alias("label"))
+    labelled = cut(labelled, "labelled")
+    unsettled = cut(labelled.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hub"), "open")
+    if not unsettled.isEmpty():
+        open_ = labelled.join(small(unsettled), "hub", "left_semi").join(reps, "node")
+        rest = cut(rest_links(open_, docs, percent, block), "rest")
+        if not rest.isEmpty():
+            found = components(links.unionAll(rest))
+
+    # A class without copies and links needs no look-up: its component is its own id.
+    by_class = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left")
+    least = by_class.where("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
+    by_class = by_class.where("label IS NOT NULL OR copies > 1").join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component"))
+    out = drawn.select("doc", "n_shingles", "digest").join(small(cut(by_class, "by_class")), "digest", "left")
     component = F.coalesce("component", "doc")
     null = F.lit(None).cast("long")
     return out.select(
@@ -209,7 +337,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> D
     )
 
 
-def keep_one(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """The documents, all columns, that are the smallest id of their component; rows sharing an id stay together."""
-    gone = near_duplicates(docs, percent).where("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("__doc"))
-    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__doc"), "left_anti")
+def keep_one(docs: DataFrame, percent: int = 80, groups: DataFrame | None = None) -> DataFrame:
+    """The documents, all columns, that are the smallest id of their component; rows sharing an id stay together.
+
+    ``groups``: what ``near_duplicates`` returned, if it ran on other texts of these ids.
+    """
+    doc = fresh(docs, "doc")
+    found = near_duplicates(docs, percent) if groups is None else groups
+    gone = found.where("NOT kept").select(F.coalesce("doc_id", F.lit(NULL_ID)).alias(doc))
+    return docs.join(gone, F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(doc), "left_anti")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chainloom.llm import decontaminate, line_dedup, near_dedup, packing, quality_rules, tokens, wavelet
-from chainloom.llm.common import table
+from chainloom.llm.common import hash_text, table
 from chainloom.llm.queries import tokenizer
 
 SF = "/root/testdata/sf0.01"
@@ -205,6 +205,51 @@ def test_near_duplicates_edges(spark):
     assert near_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_words_of_equal_crc_are_not_equal(spark):
+    """Pairs that collide in CRC-32 stay apart, as words and as documents."""
+    assert hash_text("plumless") != hash_text("buckeroo")
+    df = spark.createDataFrame([(1, "plumless one two three four"), (2, "buckeroo one two three four")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()} == {(1, 1, True), (2, 2, True)}
+
+
+def test_near_duplicates_in_bands_without_a_link_to_the_center(spark):
+    """Families whose members are linked with some of each other only, so stars settle little and blocks must find the rest."""
+    draw = random.Random(9)
+    vocabulary, texts = [f"v{i}" for i in range(3000)], {}
+    for _ in range(4):
+        base = [draw.choice(vocabulary) for _ in range(120)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(draw.randint(1, 5)):
+                w[draw.randrange(len(w))] = draw.choice(vocabulary)
+            texts[len(texts)] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for block in (near_dedup.BLOCK, 16):
+        got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 85, block).collect()}
+        assert got == brute_components(texts, 85)
+    assert len({c for _, c in got.values()}) > 8
+
+
+def test_components(spark):
+    draw = random.Random(6)
+    chain = [(i, i + 1) for i in range(60)]
+    star = [(500, 501 + i) for i in range(80)]
+    loose = [(1000 + draw.randrange(60), 1000 + draw.randrange(60)) for _ in range(40)]
+    up = {}
+
+    def root(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for a, b in chain + star + loose:
+        up[root(a)] = root(b)
+    rows = near_dedup.components(spark.createDataFrame(chain + star + loose, "a long, b long")).collect()
+    label, linked = {r["node"]: r["label"] for r in rows}, {v for a, b in chain + star + loose if a != b for v in (a, b)}
+    assert set(label) == linked
+    assert all((label[a] == label[b]) == (root(a) == root(b)) for a in linked for b in linked)
+
+
 def test_signature_is_unbiased():
     draw = np.random.default_rng(5)
     a = draw.integers(0, 1 << 63, 800, np.uint64)
