@@ -9,11 +9,15 @@ with white space runs as single blanks.
 Items go to the executors in blocks of bounded size; each block is matched
 against all documents.
 
-Defined results: null or empty texts and items match nothing; items shorter than
-``min_chars`` are no evidence and are left out; items that share an id (a null id
-too) but not the text are all searched, and for each id the closest counts, the
-least text of equally close ones; repeated documents are reported each; of equally
-good places the first counts.
+An item shorter than ``min_chars`` is searched without edits and as whole words
+(no letter or digit beside it): with edits, or inside words, it would be met by
+chance.
+
+Defined results: null or empty texts and items match nothing; items that share an
+id (a null id too) but not the text are all searched, and for each id the closest
+counts, the least text of equally close ones; repeated documents are reported
+each; of equally good places the first counts; very long texts are searched whole,
+in time that grows with their length and their hits; ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -68,6 +72,7 @@ def best_match(pattern: str, text: str) -> tuple[int, int]:
 class Matcher:
     items: dict  # any key, such as (id, normal text) -> normal text
     rate: float = RATE
+    min_chars: int = MIN_CHARS
     automaton: object = field(default=None, repr=False)
 
     def __post_init__(self):
@@ -75,7 +80,7 @@ class Matcher:
 
         pieces: dict[str, list] = {}
         for item, text in self.items.items():
-            k = int(len(text) * self.rate)
+            k = self.edits(text)
             for p in range(k + 1):
                 a, b = len(text) * p // (k + 1), len(text) * (p + 1) // (k + 1)
                 pieces.setdefault(text[a:b], []).append((item, a))
@@ -85,6 +90,9 @@ class Matcher:
         if pieces:
             self.automaton.make_automaton()
 
+    def edits(self, item: str) -> int:
+        return int(len(item) * self.rate) if len(item) >= self.min_chars else 0
+
     def __call__(self, text: str, first_only: bool = False) -> list[tuple]:
         """(item, distance, start of the searched place, end of the match) of each item that occurs in a normal text."""
         if not self.items:
@@ -96,12 +104,17 @@ class Matcher:
         out = []
         for item, starts in places.items():
             pattern = self.items[item]
-            m, k = len(pattern), int(len(pattern) * self.rate)
-            whole = text.find(pattern)
+            m, k = len(pattern), self.edits(pattern)
+            if m < self.min_chars:
+                whole = next((a for a in sorted(starts) if stands_alone(text, a, a + m)), -1)
+            else:
+                whole = text.find(pattern)
             if whole >= 0:
                 found = (item, 0, whole, whole + m)
+            elif m < self.min_chars:
+                continue
             else:
-                found, hi = None, -1
+                found = None
                 for lo, hi in merged(starts, m, k):
                     lo = max(0, lo)
                     distance, end = best_match(pattern, text[lo:hi])
@@ -114,6 +127,12 @@ class Matcher:
         return out
 
 
+def stands_alone(text: str, start: int, end: int) -> bool:
+    """Whether no letter or digit that belongs to a word lies across either end."""
+    left = start > 0 and text[start - 1].isalnum() and text[start].isalnum()
+    return not (left or (end < len(text) and text[end].isalnum() and text[end - 1].isalnum()))
+
+
 def merged(starts: list[int], m: int, k: int) -> list[tuple[int, int]]:
     """Neighbourhoods of hits, those that overlap as one."""
     out: list[list[int]] = []
@@ -125,7 +144,7 @@ def merged(starts: list[int], m: int, k: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS):
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS):
     """The items as dictionaries of about ``block_chars`` characters at most."""
     items = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
@@ -133,7 +152,7 @@ def item_blocks(benchmark: DataFrame, min_chars: int = MIN_CHARS, block_chars: i
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
         texts = ((r["item_id"], normal(r["text"])) for r in rows.toLocalIterator())
-        yield {(i, text): text for i, text in texts if len(text) >= min_chars}
+        yield {(i, text): text for i, text in texts if text}
 
 
 def closest(hits: list[tuple]) -> list[tuple]:
@@ -153,11 +172,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64())
     picked = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     parts = []
-    for block in item_blocks(benchmark, min_chars, block_chars):
+    for block in item_blocks(benchmark, block_chars):
         sent = spark.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            match = Matcher(sent.value, rate)
+            match = Matcher(sent.value, rate, min_chars)
             for b in batches:
                 rows = [(i, *hit, hash_text(t) - (1 << 63)) for i, t in zip(b.column(0).to_pylist(), texts_of(b.column(1))) for hit in closest(match(normal(t)))]
                 found = list(zip(*rows)) or [[]] * 7
@@ -176,11 +195,11 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The documents, all columns, in which no item occurs; one narrow pass for each block of items."""
     at = docs.columns.index("text")
-    for block in item_blocks(benchmark, min_chars, block_chars):
+    for block in item_blocks(benchmark, block_chars):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches, sent=sent):
-            match = Matcher(sent.value, rate)
+            match = Matcher(sent.value, rate, min_chars)
             for b in batches:
                 yield b.filter(pa.array([not match(normal(t), first_only=True) for t in texts_of(b.column(at))], pa.bool_()))
 

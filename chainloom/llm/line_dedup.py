@@ -1,8 +1,9 @@
 """Line dedup: exact, then within ``max_edits`` by segment partition.  DataFrame functions only.
 
-Lines are compared trimmed and lower-cased; those shorter than ``min_chars`` are
-left alone.  A line goes if an equal line comes earlier (by doc_id, then line
-number), or if an earlier first line is within ``max_edits`` edits of it.
+Lines are compared trimmed and lower-cased; blank ones are left alone.  A line goes
+if an equal line comes earlier (by doc_id, then line number), or, from
+``min_chars`` characters on, if an earlier first line is within ``max_edits`` edits
+of it.  In shorter lines one edit is no small part, so there only equal lines go.
 
 A line of n characters is cut into ``max_edits + 1`` segments.  A line within
 ``max_edits`` of it that isn't shorter holds one segment unchanged, at one of a
@@ -15,8 +16,9 @@ diagonals of the band, one word for each number of edits.
 
 Defined results: null or empty texts have no line to compare and come back as
 they are; rows that share a doc_id count as one document, and equal lines at
-equal numbers in them share their fate; a null doc_id sorts first; an empty table
-gives no rows.
+equal numbers in them share their fate; a null doc_id sorts first; ids must be
+whole numbers; a very long text is cut by the places of its lines, so work grows
+with its length; columns of any further name stay; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,20 +26,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, small
 
 MAX_EDITS = 1
 MIN_CHARS = 20
 #: Index lines of a key above which it is split again.
 HOT = 50
 MAX_LEVELS = 5
-#: Rows up to which a set of ids is broadcast: under 4 MB.
-FEW = 100_000
+#: The most frequent lines, joined by broadcast: at most so many, of more than so many copies each.
+FREQUENT, COPIES = 10_000, 200
 NULL_ID = -(1 << 63)
 
 
-def lines_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """doc (id), line_no, line (compared form) and o, which names the line within its document."""
+def lines_of(docs: DataFrame, min_chars: int = 1) -> DataFrame:
+    """doc (id), line_no and line (compared form)."""
     text = F.coalesce("text", F.lit(""))
     split = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("doc"), F.posexplode(F.split(text, "\n")).alias("line_no", "raw"))
     return split.select("doc", "line_no", compared(F.col("raw")).alias("line")).where(F.length("line") >= min_chars)
@@ -51,30 +53,40 @@ def name_in_doc(line_no: Column, line: Column) -> Column:
     return F.xxhash64(line_no, line)
 
 
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast what was counted and is small; else leave the join to the planner."""
-    return F.broadcast(df) if df.count() <= FEW else df
+def exact_repeats(docs: DataFrame) -> DataFrame:
+    """(doc, line_no, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes.
 
-
-def exact_repeats(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes."""
-    seen = lines_of(docs, min_chars).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no", name_in_doc(F.col("line_no"), F.col("line")).alias("o"))
+    The ``FREQUENT`` commonest lines meet their first place by broadcast, so no
+    task gathers a line's copies; any other line is at most that part of all.
+    """
+    seen = lines_of(docs).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no", name_in_doc(F.col("line_no"), F.col("line")).alias("o"))
     seen = cut(seen, "seen")  # the texts are split and hashed once, not for each side of the join
     place = F.struct("doc", "line_no")
-    first = seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return seen.join(first, ["a", "b"]).where(place != F.col("first")).select("doc", "o")
+    first = cut(seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    common = cut(first.where(F.col("n") > COPIES).orderBy(F.desc("n"), "a", "b").limit(FREQUENT).drop("n"), "common")
+    often = seen.join(F.broadcast(common), ["a", "b"])
+    seldom = seen.join(F.broadcast(common), ["a", "b"], "left_anti").join(small(first.join(F.broadcast(common), ["a", "b"], "left_anti").drop("n")), ["a", "b"])
+    return often.unionByName(seldom).where(place != F.col("first")).select("doc", "line_no", "o")
+
 
+def without(docs: DataFrame, gone: DataFrame, n_gone: str) -> DataFrame:
+    """``docs`` with the named lines taken out of the text, and their number as ``n_gone``.
 
-def without(docs: DataFrame, gone: DataFrame, broadcast_few: bool = False) -> DataFrame:
-    """``docs`` with the named lines taken out of the text; adds their number to ``__gone``."""
-    lists = gone.groupBy("doc").agg(F.collect_set("o").alias("__o"))
-    lists = small(cut(lists, "lines")) if broadcast_few else lists
-    joined = docs.join(lists.withColumnRenamed("doc", "__doc"), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col("__doc"), "left")
-    kept = F.expr("transform(filter(transform(split(text, '\\n'), (x, i) -> struct(x AS x, xxhash64(i, lower(btrim(x, ' \\t\\r'))) AS o)), s -> NOT array_contains(__o, s.o)), s -> s.x)")
-    text = F.when(F.col("__o").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    n = F.coalesce(F.size("__o"), F.lit(0))
-    n = F.when(F.col("__o").isNull(), 0).otherwise(n)
-    return joined.select(*[text.alias(c) if c == "text" else (F.col(f"`{c}`") + n).alias(c) if c == "__gone" else F.col(f"`{c}`") for c in docs.columns], *([] if "__gone" in docs.columns else [n.cast("long").alias("__gone")]))
+    The lines between those that go are kept as slices, so a text costs what it is long.
+    """
+    doc, list_ = fresh(docs, "doc"), fresh(docs, "lines")
+    lists = gone.groupBy(F.col("doc").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("line_no", "o"))).alias(list_))
+    lists = cut(lists, "lines")
+    joined = docs.join(small(lists, F.size(list_)), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(doc), "left")
+    here = f"transform(filter(`{list_}`, g -> g.line_no < size(t.lines) AND xxhash64(g.line_no, lower(btrim(t.lines[g.line_no], ' \\t\\r'))) = g.o), g -> g.line_no)"
+    gaps = "transform(sequence(0, size(u.at)), j -> slice(u.lines, if(j = 0, 1, u.at[j - 1] + 2), if(j = size(u.at), size(u.lines), u.at[j]) - if(j = 0, 0, u.at[j - 1] + 1)))"
+    at = f"transform(array(struct(split(text, '\\n') AS lines)), t -> struct(t.lines AS lines, {here} AS at))"
+    made = fresh(docs, "made")
+    cut_up = F.when(F.col(list_).isNotNull(), F.expr(f"transform({at}, u -> struct(array_join(flatten({gaps}), '\\n') AS text, size(u.at) AS n))[0]"))
+    out = joined.withColumn(made, cut_up)
+    text = F.when(F.col(list_).isNull(), F.col("text")).otherwise(F.col(made)["text"])
+    n = F.coalesce(F.col(made)["n"], F.lit(0)).cast("long")
+    return out.select(*[text.alias(c) if c == "text" else F.col(f"`{c}`") for c in docs.columns], n.alias(n_gone))
 
 
 def _segments(n: str, edits: int) -> list[tuple[str, str]]:
@@ -167,20 +179,26 @@ def within_edits(a: str, b: str, edits: int) -> Column:
 
 
 def near_repeats(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """(doc, o) of lines within ``edits`` of an earlier line, where ``docs`` has no equal lines left."""
-    lines = lines_of(docs, min_chars).select(F.struct("doc", "line_no").alias("name"), "line", "doc", "line_no")
+    """(doc, line_no, o) of lines within ``edits`` of an earlier line, where ``docs`` has no equal lines left."""
+    lines = lines_of(docs, max(min_chars, edits + 1)).select(F.struct("doc", "line_no").alias("name"), "line", "doc", "line_no")
     pairs = cut(candidate_pairs(lines.select("name", "line"), edits, hot).distinct(), "pairs")
     docs_hit = small(cut(pairs.select(F.col("p.doc").alias("doc")).unionAll(pairs.select("q.doc")).distinct(), "hit"))
     texts = lines.join(docs_hit, "doc", "left_semi")
     p, q = (texts.select(F.col("name").alias(x), F.col("line").alias(f"{x}_line")) for x in "pq")
     both = pairs.join(p, "p").join(q, "q").where(within_edits("p_line", "q_line", edits))
     later = both.select(F.when(F.col("p") > F.col("q"), F.struct("p", F.col("p_line").alias("line"))).otherwise(F.struct(F.col("q").alias("p"), F.col("q_line").alias("line"))).alias("x"))
-    return later.select(F.col("x.p.doc").alias("doc"), name_in_doc(F.col("x.p.line_no"), F.col("x.line")).alias("o")).distinct()
+    return later.select(F.col("x.p.doc").alias("doc"), F.col("x.p.line_no").alias("line_no"), name_in_doc(F.col("x.p.line_no"), F.col("x.line")).alias("o")).distinct()
+
 
+def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
+    """All columns of ``docs``, repeated lines taken out of ``text``; with ``counts``, n_exact and n_near, the numbers of lines taken out.
 
-def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
-    """All columns of ``docs``, repeated lines taken out of ``text``, and the numbers n_exact and n_near of lines taken out."""
-    once = cut(without(docs, exact_repeats(docs, min_chars)), "once")
-    near = once.withColumn("__exact", F.col("__gone"))
-    out = without(near, near_repeats(once, edits, min_chars, hot), broadcast_few=True)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__exact").alias("n_exact"), (F.col("__gone") - F.col("__exact")).alias("n_near"))
+    With ``counts``, columns of these names (in any case) are replaced.
+    """
+    if counts:
+        docs = docs.drop("n_exact", "n_near")
+    n_exact, n_near = fresh(docs, "n_exact"), fresh(docs, "n_near")
+    once = cut(without(docs, exact_repeats(docs), n_exact), "once")
+    out = without(once, near_repeats(once, edits, min_chars, hot), n_near)
+    added = [F.col(n_exact).alias("n_exact"), F.col(n_near).alias("n_near")] if counts else []
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns], *added)

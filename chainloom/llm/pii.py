@@ -14,7 +14,9 @@ of documents, labelled by the base patterns, and on rewritten forms of such span
 (disguised addresses, local phone numbers, dotted card numbers) and of near misses.
 
 Defined results: null or empty text has no span; repeated rows get equal results;
-an empty table gives no rows.
+very long texts are scanned whole, in time that grows with their length, whatever
+runs of characters they hold; ids must be whole numbers; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -22,20 +24,25 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts_of
+from .common import SAMPLE_CHARS, texts_by_id, texts_of
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+#: The same where a run of the first class begins: a match begins there or where the last one ended.
+EMAIL_AT_RUN = re.compile(r"(?<![A-Za-z0-9._%+-])" + EMAIL.pattern)
+IP_AT_RUN = re.compile(r"(?<![0-9])" + IP.pattern)
 DIGIT = re.compile("[0-9]")
 TRIGGER = re.compile(r"[0-9@]|[(\[{](?:at|dot)[)\]}]", re.I)
 WRITTEN_OUT = re.compile(r"[(\[{](?:at|dot)[)\]}]", re.I)
@@ -55,13 +62,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def matches(pattern: re.Pattern, at_run: re.Pattern, text: str):
+    """What ``pattern.finditer`` gives, without trying every place inside a run, so in linear time."""
+    at = 0
+    while m := pattern.match(text, at) or at_run.search(text, at):
+        yield m
+        at = m.end()
+
+
 def base_spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed; matches that fail their check are dropped."""
     out = []
     if "@" in text:
-        out += [("email", *m.span()) for m in EMAIL.finditer(text)]
+        out += [("email", *m.span()) for m in matches(EMAIL, EMAIL_AT_RUN, text)]
     if DIGIT.search(text):
-        out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out += [("ip", *m.span()) for m in matches(IP, IP_AT_RUN, text) if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in m[0].split("."))]
         for m in CARD.finditer(text):
             digits = NOT_DIGIT.sub("", m[0])
             if 12 <= len(digits) <= 19 and luhn(digits):
@@ -82,13 +97,15 @@ FEATURES = (
 
 def span_features(text: str, cut_short: bool = False) -> np.ndarray:
     """0/1 features of a whole candidate; ``cut_short``: a written-out "at" or "dot" stands beside it."""
+    text = " ".join(text.split())  # else a long gap would be walked from each of its places
     plain = DOT.sub(".", AT.sub("@", text))
     digits = NOT_DIGIT.sub("", text)
     groups = [len(g) for g in re.findall("[0-9]+", text)]
     letters = any(c.isalpha() for c in text)
     parts = text.split(".")
     four = len(parts) == 4 and all(p.isdigit() for p in parts)
-    n, good = len(digits), len(digits) > 1 and luhn(digits)
+    n = len(digits)
+    good = 1 < n < 20 and luhn(digits)
     date = groups in ([4, 2, 2], [2, 2, 4], [2, 2, 2])
     local = groups[-3:] == [3, 3, 4] and not letters
     on = (
@@ -113,13 +130,12 @@ def neighbourhoods(text: str) -> list[list[tuple[int, int, bool]]]:
         m = TOKEN.match(text, start)
         end = m.end()
         # Tokens between this trigger and the last one.
-        between = TOKEN.findall(text[done:start]) if current and start - done < 200 else None
-        if current and between is not None and len(between) <= REACH:
-            for t in TOKEN.finditer(text, done, start):
-                current.append((*t.span(), False))
-        elif current:
+        between = list(islice(TOKEN.finditer(text, done, start), REACH + 1)) if current else []
+        if len(between) > REACH:
             out.append(current)
             current = []
+        else:
+            current += [(*t.span(), False) for t in between]
         current.append((start, end, True))
         done = end
         while at < len(spots) and spots[at] < end:
@@ -134,12 +150,16 @@ def widened(text: str, run: list[tuple[int, int, bool]]) -> list[tuple[int, int,
         return run
     out = [(a, b, edge or any(alone[max(0, i - 1) : i + 2])) for i, (a, b, edge) in enumerate(run)]
     if alone[0]:
-        before = text[max(0, run[0][0] - 200) : run[0][0]].rstrip()
-        if word := re.search(r"\S+$", before):
-            end = max(0, run[0][0] - 200) + len(before)
-            out.insert(0, (end - len(word[0]), end, True))
-    if alone[-1] and (m := re.compile(r"\s*(\S+)").match(text, run[-1][1], run[-1][1] + 200)):
-        out.append((*m.span(1), True))
+        end = run[0][0]
+        while end and text[end - 1].isspace():
+            end -= 1
+        start = end
+        while start and not text[start - 1].isspace():
+            start -= 1
+        if start < end:
+            out.insert(0, (start, end, True))
+    if alone[-1] and (m := TOKEN.search(text, run[-1][1])):
+        out.append((*m.span(), True))
     return out
 
 
@@ -164,9 +184,16 @@ def candidates(text: str, tokens: list[tuple[int, int, bool]]) -> list[Candidate
 
 
 def trim(text: str, start: int, end: int) -> tuple[int, int] | None:
+    """Without outer punctuation, and without closing brackets that nothing in the span opens."""
     while start < end and text[start] in EDGES:
         start += 1
-    while end > start and (text[end - 1] in EDGES or text[end - 1] in ")]}" and text.count("([{"[")]}".index(text[end - 1])], start, end) == 0):
+    stray: dict[str, bool] = {}
+    while end > start:
+        c = text[end - 1]
+        if c in ")]}" and c not in stray:
+            stray[c] = text.find("([{"[")]}".index(c)], start, end) < 0
+        if c not in EDGES and not stray.get(c):
+            break
         end -= 1
     return (start, end) if start < end else None
 
@@ -248,12 +275,20 @@ class PiiModel:
 
     def spans(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
         """Base spans and those the field adds."""
-        out, taken = list(base), [(a, b) for _, a, b in base]
+        out, starts, ends = list(base), [], []
+        for _, a, b in base:  # by start; what they cover, as disjoint stretches
+            if ends and a <= ends[-1]:
+                ends[-1] = max(ends[-1], b)
+            else:
+                starts.append(a)
+                ends.append(b)
+        last = 0  # end of the last span that was added; they come in order
         for tokens in neighbourhoods(text):
             for kind, a, b in decode(self.weights, len(tokens), candidates(text, tokens)):
-                if all(b <= x or a >= y for x, y in taken):
+                i = bisect_left(ends, a + 1)  # the first stretch that ends after a
+                if a >= last and (i == len(starts) or b <= starts[i]):
                     out.append((kind, a, b))
-                    taken.append((a, b))
+                    last = b
         return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
@@ -286,12 +321,11 @@ def fit_field(texts: list[str], epochs: int = 15, rate: float = 1.0, ridge: floa
     return PiiModel(weights)
 
 
-def fit_pii(docs: DataFrame, max_docs: int = 2_000, **params) -> PiiModel:
-    """Fit on at most ``max_docs`` documents with a digit or an @, the first by a hash of the id."""
+def fit_pii(docs: DataFrame, max_docs: int = 2_000, max_chars: int = SAMPLE_CHARS, **params) -> PiiModel:
+    """Fit on at most ``max_docs`` documents with a digit or an @, of ``max_chars`` characters in all: the first by a hash of the id."""
     seen = docs.where(F.col("text").rlike("[0-9@]"))
-    ids = seen.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).distinct()
-    rows = seen.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    texts = {r["doc_id"]: r["text"] for r in rows.toLocalIterator()}
+    drawn = seen.groupBy("doc_id").agg(F.max(F.length("text")).alias("n")).where("doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()
+    texts = texts_by_id(seen, [(r["doc_id"], r["n"]) for r in drawn], max_chars)
     return fit_field([texts[k] for k in sorted(texts)], **params)
 
 

@@ -134,26 +134,62 @@ def test_line_dedup(spark, edits, hot):
     draw = random.Random(edits * 10 + hot)
     base = ["alpha beta gamma delta", "one two three four five", "lorem ipsum dolor sit amet x", "  Alpha Beta Gamma Delta\t"]
     docs = [(i, "\n".join(mutated(draw, draw.choice(base), 3) if draw.random() < 0.9 else "short" for _ in range(draw.randint(0, 6))), "k") for i in range(80)] + [(200, None, "k"), (201, "", None), (202, "x" * 50_000, "k")]
-    want, firsts, met = {}, [], set()
-    for i, t, _ in docs:
-        out = []
-        for line in (t or "").split("\n"):
-            n = line.strip(" \t\r").lower()
-            if len(n) < 20:
-                out.append(line)
-            elif n not in met:
-                met.add(n)
-                if not any(abs(len(n) - len(f)) <= edits and distance(n, f) <= edits for f in firsts if len(f) < 1000):
-                    out.append(line)
-                firsts.append(n)
-        want[i] = "\n".join(out)
     df = spark.createDataFrame(docs, "doc_id long, text string, line string")
     got = line_dedup.dedup_lines(df, edits, 20, hot)
     assert got.columns == ["doc_id", "text", "line", "n_exact", "n_near"]
-    assert {r["doc_id"]: r["text"] or "" for r in got.collect()} == want
+    assert {r["doc_id"]: r["text"] or "" for r in got.collect()} == lines_left(docs, edits)
     assert line_dedup.dedup_lines(df.where("false")).count() == 0
 
 
+def lines_left(docs, edits, min_chars=20):
+    out, firsts, met = {}, [], set()
+    for i, t, *_ in sorted(docs, key=lambda d: (d[0] is not None, d[0] or 0)):
+        kept = []
+        for line in (t or "").split("\n"):
+            n = line.strip(" \t\r").lower()
+            if n and n not in met:
+                met.add(n)
+                if len(n) < min_chars:
+                    kept.append(line)
+                else:
+                    if not any(abs(len(n) - len(f)) <= edits and distance(n, f) <= edits for f in firsts if len(f) < 1000):
+                        kept.append(line)
+                    firsts.append(n)
+            elif not n:
+                kept.append(line)
+        out[i] = "\n".join(kept)
+    return out
+
+
+def test_short_lines_go_if_equal(spark):
+    docs = [(1, "}\n\nyes"), (2, "} \n\nno\nYES"), (None, "no"), (3, "yet\nno\n}")]
+    got = {r["doc_id"]: (r["text"], r["n_exact"], r["n_near"]) for r in line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: ("}\n\nyes", 0, 0), 2: ("", 3, 0), None: ("no", 0, 0), 3: ("yet", 2, 0)}
+
+
+def test_line_dedup_keeps_other_columns(spark):
+    """Columns with the names that the operator uses itself, rows that share an id, ties."""
+    line = "a line that is said in every document"
+    rows = [(1, line, 5, 7, 9, 11, 13), (2, f"{line}\nown words of the second one", 5, 7, 9, 11, 13), (2, f"other\n{line}", 5, 7, 9, 11, 13), (2, f"{line}\nown words of the second one", 5, 7, 9, 11, 13)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc long, __lines long, __gone long, N_Exact long, __made long")
+    out = line_dedup.dedup_lines(df, counts=False)
+    assert out.columns == df.columns
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == sorted([(1, line, 5, 7, 9, 11, 13), (2, "own words of the second one", 5, 7, 9, 11, 13), (2, "other", 5, 7, 9, 11, 13), (2, "own words of the second one", 5, 7, 9, 11, 13)])
+    counted = line_dedup.dedup_lines(df)
+    assert counted.columns == ["doc_id", "text", "__doc", "__lines", "__gone", "__made", "n_exact", "n_near"]
+    kept = near_dedup.keep_one(df)
+    assert kept.columns == df.columns and [r["doc_id"] for r in kept.collect()] == [1]  # one text of 2 holds 4 of 5 shingles of 1
+
+
+def test_line_dedup_of_a_long_text(spark):
+    """A text of 60 000 lines of which half go; work must not grow with lines times removed lines."""
+    text = "\n".join(f"line number {i // 2} of a very long text" for i in range(60_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    (row,) = line_dedup.without(df, line_dedup.exact_repeats(df), "n").collect()
+    assert row["n"] == 30_000 and row["text"] == "\n".join(f"line number {i} of a very long text" for i in range(30_000))
+
+
 def shingles(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
@@ -261,7 +297,7 @@ def test_signature_is_unbiased():
 def test_decontamination(spark):
     draw = random.Random(2)
     word = lambda: "".join(draw.choice("abcdefghij") for _ in range(draw.randint(2, 8)))
-    items = {i: " ".join(word() for _ in range(draw.randint(10, 30))) for i in range(12)} | {100: "tiny", 101: None, 102: ""}
+    items = {i: " ".join(word() for _ in range(draw.randint(10, 30))) for i in range(12)} | {100: "tinyxyz", 101: None, 102: ""}
     docs, want = [], set()
     for d in range(60):
         text = " ".join(word() for _ in range(80))
@@ -301,6 +337,21 @@ def test_items_that_share_an_id(spark, block):
     assert [r["doc_id"] for r in decontaminate.drop_leaks(docs, bench, block_chars=block).collect()] == [5]
 
 
+def test_short_items_are_searched_as_whole_words(spark):
+    bench = spark.createDataFrame([(1, "Two plus two is  what?"), (2, "four"), (3, "?")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "He said: two plus\ntwo is what? Four."), (2, "fourteen two plus two is whatever"), (3, "petit-four"), (4, "is it? " * 200_000), (5, None)], "doc_id long, text string")
+    for block in (decontaminate.BLOCK_CHARS, 5):
+        got = {(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_leaks(docs, bench, block_chars=block).collect()}
+        assert got == {(1, 1, 0), (1, 2, 0), (3, 2, 0), (1, 3, 0), (4, 3, 0)}
+
+
+def test_decontamination_keeps_other_columns(spark):
+    bench = spark.createDataFrame([(1, "one item with some words in it")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, 5, "x", "one item with some words in it"), (None, 6, "y", "clean"), (2, 7, "z", None), (2, 7, "z", None)], "doc_id long, distance int, item string, text string")
+    out = decontaminate.drop_leaks(docs, bench)
+    assert out.columns == docs.columns and sorted((tuple(r) for r in out.collect()), key=str) == sorted([(None, 6, "y", "clean"), (2, 7, "z", None), (2, 7, "z", None)], key=str)
+
+
 def rule_row(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     at, covered = {}, set()
