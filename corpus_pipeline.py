@@ -2,15 +2,20 @@
 
 Each stage takes all its predecessor kept, is written as Parquet in the shared
 folder, and is read again as the next one's documents.
+
+Defined results: a null text counts as empty; columns of any further name stay
+through all stages but the last; rows that share a doc_id are kept or dropped
+together by near-dedup; very long texts are handled whole; empty tables give no
+rows; ids must be whole numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from chainloom.llm.common import cut, table
+from chainloom.llm.common import cut, fresh, table
 from chainloom.llm.queries import tokenizer
 
 
@@ -20,12 +25,32 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go from the texts; every document stays, and n_chars follows its text."""
-    out = line_dedup.dedup_lines(docs).drop("n_exact", "n_near")
+    out = line_dedup.dedup_lines(docs, counts=False)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.keep_one(docs)
+    """One document of each group of near-duplicates stays, and none that line dedup left empty.
+
+    Line dedup takes from a copy all that equals its original and so hides it.  So a
+    document counts with two texts where they differ, the one it has and the one it
+    came with, and is linked through either.  One that lost all its words says
+    nothing that an earlier one doesn't.
+    """
+    id_, text, lost = docs["doc_id"].cast("long").alias("doc_id"), F.col("text"), fresh(docs, "lost")
+    now = docs.select(id_, text, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    came = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    changed = came.join(now.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_anti").join(now.select("doc_id").distinct(), "doc_id", "left_semi")
+    changed = cut(changed.select("doc_id", "text"), "changed")
+    groups = cut(near_dedup.near_duplicates(now.select("doc_id", "text").unionByName(changed)), "groups")
+    emptied = changed.where(has_words("text")).select(F.col("doc_id").alias(lost)).distinct()
+    kept = near_dedup.keep_one(docs, groups=groups)
+    blank = kept.where(~has_words("text")).join(emptied, kept["doc_id"].cast("long") == F.col(lost), "left_anti")
+    return kept.where(has_words("text")).unionByName(blank)
+
+
+def has_words(text: str) -> Column:
+    return F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
