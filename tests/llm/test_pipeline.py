@@ -24,8 +24,14 @@ def test_stages(spark, tmp_path):
     rows.append([1000, " ".join(near), "en", "s", 0])
     rows.append([1001, clean() + " " + item + " " + clean(), "en", "s", 0])
     rows += [[1002 + k, clean() + "\n" + shared, "en", "s", 0] for k in range(5)]
-    rows += [[2000, None, None, None, None], [2001, "", "en", "s", 0]]
-    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows += [[2000, None, None, None, None], [2001, "", "en", "s", 0], [None, clean(), None, "s", 0]]
+    a, b, c, d = (clean(30) for _ in range(4))
+    changed = " ".join(["other", *c.split()[1:]])
+    rows += [[1100, f"{a}\n{b}\n{c}", "en", "s", 0], [1101, f"{a}\n{b}\n{changed}", "en", "s", 0], [1102, f"{a}\n{b}\n{c}", "en", "s", 0]]
+    rows += [[1103, d, "en", "s", 0], [1104, f"{a}\n{d}\n{d}", "en", "s", 0], [1105, f"{d}\n{clean(40)}", "en", "s", 0]]
+    for r in rows:
+        r += ["x", 7]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, __lost string, __Doc int"
     sf = str(tmp_path)
     spark.createDataFrame(rows, schema).write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i in toxic)) for i in range(400)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
@@ -42,12 +48,23 @@ def test_stages(spark, tmp_path):
     texts = [seen["line_dedup"][1002 + k]["text"] for k in range(5)]
     assert sum(shared in t for t in texts) == 1 and set(seen["line_dedup"]) == set(seen["toxicity"])
     assert all(r["n_chars"] == len(r["text"]) for r in seen["line_dedup"].values() if r["text"] is not None)
-    assert 1000 not in seen["near_dedup"] and 6 in seen["near_dedup"] and len(seen["near_dedup"]) == len(seen["line_dedup"]) - 1
+    # A near copy that line dedup left one line of, a copy it emptied, and a text that is put together of others' lines go too.
+    assert seen["line_dedup"][1101]["text"] == changed and seen["line_dedup"][1102]["text"] == seen["line_dedup"][1104]["text"] == ""
+    assert set(seen["line_dedup"]) - set(seen["near_dedup"]) == {1000, 1101, 1102, 1104} and {6, 1100, 1103, 1105, 2000, 2001, None} <= set(seen["near_dedup"])
+    assert all(r["text"] for i, r in seen["decontamination"].items() if i not in (2000, 2001))
     assert set(seen["near_dedup"]) - set(seen["decontamination"]) == {1001}
     assert set(seen["packing"]) == set(seen["decontamination"])
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_empty_tables(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
+
+
 def test_sweep(spark):
     from chainloom.llm.common import cut, sweep
 
