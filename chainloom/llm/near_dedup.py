@@ -45,7 +45,7 @@ BANDS = 2 * PERMUTATIONS // ROWS
 #: Classes of a block of signatures.
 BLOCK = 128
 #: Classes that one copy of a center's text is compared with.
-STAR = 256
+STAR = 64
 #: Signature values are kept shortened; unequal ones look equal once in 65 536.
 SHORT = np.uint16
 NULL_ID = -(1 << 63)
