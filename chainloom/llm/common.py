@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 CHUNK_CHARS = 1_000_000
 #: Rows of a few numbers up to which a table is broadcast: under 8 MB.
 FEW = 100_000
+#: Ids up to which a set of nothing else is broadcast: under 40 MB.
+FEW_IDS = 1_000_000
 #: Characters of a training sample, which the driver holds.
 SAMPLE_CHARS = 100_000_000
 
@@ -60,7 +62,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/chainloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these, once all that is made of them is written itself."""
+    for df in tables:
+        jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def sweep(spark: SparkSession) -> bool:
@@ -83,6 +95,11 @@ def small(df: DataFrame, weight: Column | None = None, most: int = FEW) -> DataF
     return F.broadcast(df) if (n or 0) <= most else df
 
 
+def of_ids(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose ``key`` is among the ``ids`` (one column of whole numbers): without a shuffle of ``rows`` if the ids are few."""
+    return rows.join(small(ids, most=FEW_IDS), key, "left_semi")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` doesn't have, in any case of letters."""
     taken = {c.lower() for c in df.columns}

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, small
+from .common import cut, discard, fresh, of_ids, small
 
 MAX_EDITS = 1
 MIN_CHARS = 20
@@ -53,30 +53,36 @@ def name_in_doc(line_no: Column, line: Column) -> Column:
     return F.xxhash64(line_no, line)
 
 
-def exact_repeats(docs: DataFrame) -> DataFrame:
+def exact_repeats(docs: DataFrame, scratch: list) -> DataFrame:
     """(doc, line_no, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes.
 
     The ``FREQUENT`` commonest lines meet their first place by broadcast, so no
     task gathers a line's copies; any other line is at most that part of all.
+    ``scratch`` gets the tables it wrote.
     """
     seen = lines_of(docs).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no", name_in_doc(F.col("line_no"), F.col("line")).alias("o"))
     seen = cut(seen, "seen")  # the texts are split and hashed once, not for each side of the join
     place = F.struct("doc", "line_no")
     first = cut(seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
     common = cut(first.where(F.col("n") > COPIES).orderBy(F.desc("n"), "a", "b").limit(FREQUENT).drop("n"), "common")
+    scratch += [seen, first, common]
     often = seen.join(F.broadcast(common), ["a", "b"])
     seldom = seen.join(F.broadcast(common), ["a", "b"], "left_anti").join(small(first.join(F.broadcast(common), ["a", "b"], "left_anti").drop("n")), ["a", "b"])
     return often.unionByName(seldom).where(place != F.col("first")).select("doc", "line_no", "o")
 
 
-def without(docs: DataFrame, gone: DataFrame, n_gone: str) -> DataFrame:
+def without(docs: DataFrame, gone: DataFrame, n_gone: str, scratch: list) -> DataFrame:
     """``docs`` with the named lines taken out of the text, and their number as ``n_gone``.
 
-    The lines between those that go are kept as slices, so a text costs what it is long.
+    The lines between those that go are kept as slices, so a text costs what it is
+    long.  The tables in ``scratch``, which ``gone`` came from, are deleted; in it
+    comes the one the result needs.
     """
     doc, list_ = fresh(docs, "doc"), fresh(docs, "lines")
     lists = gone.groupBy(F.col("doc").alias(doc)).agg(F.sort_array(F.collect_set(F.struct("line_no", "o"))).alias(list_))
     lists = cut(lists, "lines")
+    discard(*scratch)
+    scratch[:] = [lists]
     joined = docs.join(small(lists, F.size(list_)), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(doc), "left")
     here = f"transform(filter(`{list_}`, g -> g.line_no < size(t.lines) AND xxhash64(g.line_no, lower(btrim(t.lines[g.line_no], ' \\t\\r'))) = g.o), g -> g.line_no)"
     gaps = "transform(sequence(0, size(u.at)), j -> slice(u.lines, if(j = 0, 1, u.at[j - 1] + 2), if(j = size(u.at), size(u.lines), u.at[j]) - if(j = 0, 0, u.at[j - 1] + 1)))"
@@ -121,7 +127,7 @@ def _array(entries: list[str]) -> str:
     return f"array({', '.join(entries)})"
 
 
-def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: int = MAX_LEVELS) -> DataFrame:
+def candidate_pairs(lines: DataFrame, edits: int, scratch: list, hot: int = HOT, max_levels: int = MAX_LEVELS) -> DataFrame:
     """(p, q) names of lines that share a key, p on the index side; ``lines`` has name, line."""
     at = lines.select("name", "line", F.lit(0).cast("long").alias("salt"), F.length("line").alias("n"), F.lit(True).alias("i"), F.lit(True).alias("p"))
     out = None
@@ -133,12 +139,14 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
         rest_n = F.expr("CASE pos " + " ".join(f"WHEN {i} THEN n - {w}" for i, (_, w) in enumerate(_segments("n", edits))) + " END")
         keys = at.select("name", "salt", "n", F.posexplode(F.expr(_array(on + off))).alias("pos", "key")).where("key IS NOT NULL")
         keys = cut(keys.select("name", "salt", "key", (F.col("pos") > edits).alias("probe"), rest_n.alias("rest_n")), "keys")
+        scratch.append(keys)
         index, probe = keys.where("NOT probe"), keys.where("probe")
         many = None
         if level < max_levels:
             # A key fixes the length of what is left, and that must still have room for segments.
             sizes = index.groupBy("key").agg(F.count("*").alias("c"), F.min("rest_n").alias("rest_n"))
             many = cut(sizes.where((F.col("c") > hot) & (F.col("rest_n") >= 2 * (edits + 1))).select("key"), "hot")
+            scratch.append(many)
             if many.isEmpty():
                 many = None
             else:
@@ -155,6 +163,7 @@ def candidate_pairs(lines: DataFrame, edits: int, hot: int = HOT, max_levels: in
             grown = grown.select("name", F.col("k.key").alias("key"), F.col("k.rest").alias("line")).join(many, "key", "left_semi")
             rows.append(grown.select("name", "line", F.col("key").alias("salt"), F.length("line").alias("n"), F.lit(side == "i").alias("i"), F.lit(side == "p").alias("p")))
         at = cut(rows[0].unionAll(rows[1]), "split")
+        scratch.append(at)
     return out
 
 
@@ -178,12 +187,14 @@ def within_edits(a: str, b: str, edits: int) -> Column:
     return F.expr(f"abs(length({a}) - length({b})) <= {k} AND transform(array(struct(split({a}, '') AS a, split({b}, '') AS b)), x -> {test})[0]")
 
 
-def near_repeats(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
+def near_repeats(docs: DataFrame, scratch: list, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT) -> DataFrame:
     """(doc, line_no, o) of lines within ``edits`` of an earlier line, where ``docs`` has no equal lines left."""
     lines = lines_of(docs, max(min_chars, edits + 1)).select(F.struct("doc", "line_no").alias("name"), "line", "doc", "line_no")
-    pairs = cut(candidate_pairs(lines.select("name", "line"), edits, hot).distinct(), "pairs")
-    docs_hit = small(cut(pairs.select(F.col("p.doc").alias("doc")).unionAll(pairs.select("q.doc")).distinct(), "hit"))
-    texts = lines.join(docs_hit, "doc", "left_semi")
+    pairs = cut(candidate_pairs(lines.select("name", "line"), edits, scratch, hot).distinct(), "pairs")
+    discard(*scratch)
+    hit = cut(pairs.select(F.col("p.doc").alias("doc")).unionAll(pairs.select("q.doc")).distinct(), "hit")
+    scratch[:] = [pairs, hit]
+    texts = of_ids(lines, "doc", hit)
     p, q = (texts.select(F.col("name").alias(x), F.col("line").alias(f"{x}_line")) for x in "pq")
     both = pairs.join(p, "p").join(q, "q").where(within_edits("p_line", "q_line", edits))
     later = both.select(F.when(F.col("p") > F.col("q"), F.struct("p", F.col("p_line").alias("line"))).otherwise(F.struct(F.col("q").alias("p"), F.col("q_line").alias("line"))).alias("x"))
@@ -198,7 +209,10 @@ def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CH
     if counts:
         docs = docs.drop("n_exact", "n_near")
     n_exact, n_near = fresh(docs, "n_exact"), fresh(docs, "n_near")
-    once = cut(without(docs, exact_repeats(docs), n_exact), "once")
-    out = without(once, near_repeats(once, edits, min_chars, hot), n_near)
+    scratch: list = []
+    once = cut(without(docs, exact_repeats(docs, scratch), n_exact, scratch), "once")
+    discard(*scratch)
+    scratch.clear()
+    out = without(once, near_repeats(once, scratch, edits, min_chars, hot), n_near, scratch)
     added = [F.col(n_exact).alias("n_exact"), F.col(n_near).alias("n_near")] if counts else []
     return out.select(*[F.col(f"`{c}`") for c in docs.columns], *added)

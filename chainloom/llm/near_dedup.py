@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, chunks, cut, fresh, hash_text, mix, small, texts_of
+from .common import BoundedCache, chunks, cut, discard, fresh, hash_text, mix, of_ids, small, texts_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -140,14 +140,18 @@ def components(links: DataFrame) -> DataFrame:
         maps.append(moved)
         lookup = small(moved)
         to_a, to_b = (lookup.select(F.col("node").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
-        at = cut(at.join(to_a, "a").join(to_b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "links")
+        before, at = at, cut(at.join(to_a, "a").join(to_b, "b").select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).where("a <> b").distinct(), "links")
+        discard(before)
+    discard(at)
     if not maps:
         return links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
     out = maps[-1].select("node", F.col("to").alias("label"))
     for earlier in maps[-2::-1]:
         later = out.select(F.col("node").alias("to"), "label")
         out = earlier.join(small(later), "to", "left").select("node", F.coalesce("label", "to").alias("label"))
-    return cut(out, "labels")
+    labels = cut(out, "labels")
+    discard(*maps)
+    return labels
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -173,7 +177,7 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """The links among (center, node) pairs, confirmed on full sets.
+    """The links (a, b) among (center, node) pairs, confirmed on full sets.
 
     A center is sent once to each part of its nodes (about ``STAR`` of them), and
     the nodes stream past it, so a task holds one set whatever the group's size.
@@ -182,7 +186,7 @@ def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     one = pairs.select("center", salt, F.lit(1).alias("rank"), "node", "doc")
     two = pairs.select("center", salt, F.lit(0).alias("rank"), F.col("center").alias("node"), F.col("center_doc").alias("doc")).distinct()
     wanted = cut(one.unionAll(two), "wanted")
-    texts = dealt(with_id(docs).join(small(wanted), "doc"), "center", "salt").select("center", "salt", "rank", "node", "text").sortWithinPartitions("center", "salt", "rank")
+    texts = dealt(of_ids(with_id(docs), "doc", wanted.select("doc").distinct()).join(small(wanted), "doc"), "center", "salt").select("center", "salt", "rank", "node", "text").sortWithinPartitions("center", "salt", "rank")
 
     def run(batches):
         shingle, current, center = Shingler(), None, None
@@ -200,7 +204,9 @@ def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     found.append((key, node))
             yield pairs_schema(found)
 
-    return texts.mapInArrow(run, "a binary, b binary")
+    found = cut(texts.mapInArrow(run, "a binary, b binary"), "stars")
+    discard(wanted)
+    return found
 
 
 def groups_of(batches, width: int):
@@ -261,7 +267,7 @@ def rest_links(open_: DataFrame, docs: DataFrame, percent: int, block: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip((0, 1, 2, 3, 4, 5, 6), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["hub", "x", "y", "own", "node", "doc", "label"])
 
     wanted = cut(dealt(keyed, "hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(candidates, "hub long, x long, y long, own long, node binary, doc long, label binary"), "wanted")
-    texts = dealt(with_id(docs).join(small(wanted), "doc"), "hub", "x", "y").select("hub", "x", "y", "own", "node", "label", "text").sortWithinPartitions("hub", "x", "y")
+    texts = dealt(of_ids(with_id(docs), "doc", wanted.select("doc").distinct()).join(small(wanted), "doc"), "hub", "x", "y").select("hub", "x", "y", "own", "node", "label", "text").sortWithinPartitions("hub", "x", "y")
 
     def confirm(batches):
         shingle = Shingler()
@@ -269,7 +275,9 @@ def rest_links(open_: DataFrame, docs: DataFrame, percent: int, block: int) -> D
             sets = [(r, shingle(r[6] or "")) for r in held]
             yield pairs_schema(links_in([(r[4], r[5], r[3], s) for r, s in sets if digest_of(s) == r[4]], percent, held[0][1] != held[0][2]))
 
-    return texts.mapInArrow(confirm, "a binary, b binary")
+    found = cut(texts.mapInArrow(confirm, "a binary, b binary"), "rest")
+    discard(wanted)
+    return found
 
 
 def links_in(rows: list[tuple], percent: int, two_sides: bool = False) -> list[tuple]:
@@ -312,8 +320,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> D
     # Classes that share an id are one node.
     ids = full.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
     same = full.select("doc", F.col("digest").alias("b")).join(ids, "doc").select("a", "b").where("a <> b").distinct()
-    links = cut(star_links(pairs, docs, percent).unionAll(same), "stars")
-    found = components(links)
+    stars = star_links(pairs, docs, percent)
+    found = components(stars.unionAll(same))
 
     # The rest: bands of three and more classes that aren't one component yet.
     labelled = keyed.join(small(hubs.where("size > 2")), "hub").join(small(found), "node", "left").select("hub", "size", F.col("c.node").alias("least"), "node", F.coalesce("label", "node").alias("label"))
@@ -321,15 +329,19 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> D
     unsettled = cut(labelled.groupBy("hub").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("hub"), "open")
     if not unsettled.isEmpty():
         open_ = labelled.join(small(unsettled), "hub", "left_semi").join(reps, "node")
-        rest = cut(rest_links(open_, docs, percent, block), "rest")
+        rest = rest_links(open_, docs, percent, block)
         if not rest.isEmpty():
-            found = components(links.unionAll(rest))
+            before, found = found, components(stars.unionAll(same).unionAll(rest))
+            discard(before)
+        discard(rest)
 
     # A class without copies and links needs no look-up: its component is its own id.
     by_class = classes.join(found.withColumnRenamed("node", "digest"), "digest", "left")
     least = by_class.where("label IS NOT NULL").groupBy("label").agg(F.min("rep").alias("least"))
     by_class = by_class.where("label IS NOT NULL OR copies > 1").join(least, "label", "left").select("digest", F.coalesce("least", "rep").alias("component"))
-    out = drawn.select("doc", "n_shingles", "digest").join(small(cut(by_class, "by_class")), "digest", "left")
+    by_class = cut(by_class, "by_class")
+    discard(classes, reps, hubs, stars, labelled, unsettled)
+    out = drawn.select("doc", "n_shingles", "digest").join(small(by_class), "digest", "left")
     component = F.coalesce("component", "doc")
     null = F.lit(None).cast("long")
     return out.select(
