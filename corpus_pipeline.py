@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainloom.llm import decontaminate, line_dedup, near_dedup, packing, toxicity
-from chainloom.llm.common import cut, fresh, table
+from chainloom.llm.common import cut, fresh, of_ids, table
 from chainloom.llm.queries import tokenizer
 
 
@@ -37,12 +37,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     came with, and is linked through either.  One that lost all its words says
     nothing that an earlier one doesn't.
     """
-    id_, text, lost = docs["doc_id"].cast("long").alias("doc_id"), F.col("text"), fresh(docs, "lost")
-    now = docs.select(id_, text, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    came = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), text, F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
-    changed = came.join(now.select("doc_id", "h").distinct(), ["doc_id", "h"], "left_anti").join(now.select("doc_id").distinct(), "doc_id", "left_semi")
-    changed = cut(changed.select("doc_id", "text"), "changed")
-    groups = cut(near_dedup.near_duplicates(now.select("doc_id", "text").unionByName(changed)), "groups")
+    id_, digest, lost = F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), fresh(docs, "lost")
+    now, came = docs.select(id_, "text"), table(spark, sf_dir, "documents").select(id_, "text")
+    # Which texts differ is found on ids and digests alone.
+    same = docs.select(id_, digest)
+    other = came.select("doc_id", digest).join(same.distinct(), ["doc_id", "h"], "left_anti").join(same.select("doc_id").distinct(), "doc_id", "left_semi")
+    other = cut(other.select("doc_id").distinct(), "other")
+    changed = of_ids(came, "doc_id", other)
+    groups = cut(near_dedup.near_duplicates(now.unionByName(changed)), "groups")
     emptied = changed.where(has_words("text")).select(F.col("doc_id").alias(lost)).distinct()
     kept = near_dedup.keep_one(docs, groups=groups)
     blank = kept.where(~has_words("text")).join(emptied, kept["doc_id"].cast("long") == F.col(lost), "left_anti")
