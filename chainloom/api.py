@@ -49,13 +49,13 @@ def import_index(files: DataFrame) -> DataFrame:
     return reachability.merge_index(trees.index_files(files))
 
 
-def vex(advisories: DataFrame, index: DataFrame, fmt: str = "openvex") -> DataFrame:
+def vex(advisories: DataFrame, index: DataFrame, keys: tuple[str, ...], fmt: str = "openvex") -> DataFrame:
     rows = reachability.verdicts(advisories, index)
-    return reachability.openvex(rows) if fmt == "openvex" else reachability.cyclonedx_vex(rows)
+    return reachability.openvex(rows, keys) if fmt == "openvex" else reachability.cyclonedx_vex(rows, keys)
 
 
-def sbom(nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    return reachability.sbom_export(nodes, scores)
+def sbom(nodes: DataFrame, scores: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    return reachability.sbom_export(nodes, scores, keys)
 
 
 def watch_index(scores: DataFrame, packages: DataFrame, versions: DataFrame, top_n: int = 25) -> DataFrame:

@@ -34,6 +34,14 @@ INTERACTIONS = {
     ("provenance_drift", "ownership_churn"): 2.5,
 }
 
+# What the interactions are called among contributions.
+INTERACTION_NAMES = {
+    ("ownership_churn", "churn_after_dormancy"): "churn_x_dormancy",
+    ("new_install_hook", "publisher_portfolio_breadth"): "new_hook_x_portfolio",
+    ("entropy_spike", "size_delta"): "entropy_x_size",
+    ("provenance_drift", "ownership_churn"): "prov_drift_x_churn",
+}
+
 # The signals, those bounded to 0..1, and divisors without a history.
 SIGNALS = (
     "bus_factor", "publish_concentration", "ownership_churn", "churn_after_dormancy", "first_publish_by_new_owner", "publisher_portfolio_breadth", "days_dormant", "cadence_break",
@@ -97,7 +105,7 @@ def linear_term(signal, weights: dict[str, float] | None = None, interactions: d
 
 def contributions(signal) -> Column:
     """Map of the positive terms."""
-    names = [*WEIGHTS, *(f"interaction:{a}*{b}" for a, b in INTERACTIONS)]
+    names = [*WEIGHTS, *(f"interaction:{INTERACTION_NAMES[pair]}" for pair in INTERACTIONS)]
     values = [*(w * signal(n) for n, w in WEIGHTS.items()), *(w * signal(a) * signal(b) for (a, b), w in INTERACTIONS.items())]
     return F.map_filter(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*values)), lambda _, v: v > 0)
 

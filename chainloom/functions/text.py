@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..session import let
 
+# Names of dependency kinds and provenances.
+KINDS = ("RUNTIME", "DEV", "PEER", "OPTIONAL")
+PROVENANCES = ("ATTESTED", "UNATTESTED", "UNKNOWN")
 # Script names that run at install time, and endings of native binaries.
 HOOKS = ("preinstall", "install", "postinstall")
 NATIVE = r"\.(node|so|dll|wasm)$"
@@ -62,6 +65,11 @@ def lock_path_package(path: Column) -> Column:
     return F.element_at(F.split(path, "node_modules/"), -1)
 
 
+def one_of(value: Column, allowed: tuple[str, ...], fallback: str) -> Column:
+    """The value if it is one of the names allowed, else the fallback."""
+    return F.when(value.isin(*allowed), value).otherwise(F.lit(fallback))
+
+
 def instant(text: Column, fallback: Column) -> Column:
     """ISO-8601 text as a timestamp, or the fallback."""
     return F.coalesce(F.try_to_timestamp(text), fallback)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +30,7 @@ def load(parsed: DataFrame, root: str = "root") -> tuple[DataFrame, DataFrame]:
     only needed come in at 1.0.0 and unattested.  edges: project_id, root, src,
     dst, range_raw, range_class; the root points to the direct dependencies.
     """
+    parsed = graph.cut_lineage(parsed)  # read once, used by many joins
     direct = direct_of(parsed)
     sound = F.coalesce(F.col("integrity").contains("sha512") | F.col("integrity").contains("sha256"), F.lit(False))
     own = parsed.select("project_id", "name", "version", F.when(sound, "ATTESTED").otherwise("UNATTESTED").alias("provenance"))
@@ -40,10 +43,15 @@ def load(parsed: DataFrame, root: str = "root") -> tuple[DataFrame, DataFrame]:
 
 
 def risks(packages: DataFrame, scores: DataFrame, threshold: float = 60.0, default: float = 40.0, fallback: float = 75.0) -> DataFrame:
-    """(project_id, name, risk) of packages at or over the threshold; a project without any gets its last package at ``fallback``."""
-    rated = packages.join(scores.select("name", "score"), "name", "left").withColumn("risk", F.coalesce("score", F.lit(default)))
-    hot = rated.where(F.col("risk") >= threshold).select("project_id", "name", "risk")
-    rest = rated.join(hot.select("project_id").distinct(), "project_id", "left_anti").groupBy("project_id").agg(F.max("name").alias("name")).withColumn("risk", F.lit(fallback))
+    """(project_id, name, risk) of packages at or over the threshold, to one decimal; a project without any gets its last package at ``fallback``.
+
+    The last one is that of the greatest ``at`` (place in the lockfile) if there
+    is such a column, else by name.
+    """
+    rated = packages.join(scores.select("name", "score"), "name", "left").withColumn("risk", F.round(F.coalesce("score", F.lit(default)), 1))
+    hot = rated.where(F.coalesce("score", F.lit(default)) >= threshold).select("project_id", "name", "risk")
+    last = F.max_by("name", F.struct("at", "name")) if "at" in rated.columns else F.max("name")
+    rest = rated.join(hot.select("project_id").distinct(), "project_id", "left_anti").groupBy("project_id").agg(last.alias("name")).withColumn("risk", F.lit(fallback))
     return hot.unionByName(rest)
 
 
@@ -62,25 +70,34 @@ ACTION_ORDER = {"UPGRADE": 0, "PIN": 1, "REMOVE": 2, "OVERRIDE": 3}
 
 
 def choose(options: list[tuple], risk: dict[str, float], budget: float) -> list[int]:
-    """Indices of chosen (cost, covered) options: by gain for cost within the budget, or the best single one if that gains more."""
-    taken, covered, spent = [], set(), 0.0
-    while True:
-        best, best_ratio, best_gain = None, -1.0, 0.0
-        for i, (cost, what) in enumerate(options):
-            if i in taken or spent + cost > budget:
-                continue
-            gain = sum(risk[p] for p in what if p not in covered)
-            if gain / cost > best_ratio:
-                best, best_ratio, best_gain = i, gain / cost, gain
-        if best is None or best_gain <= 0 or spent >= budget:
-            break
-        taken.append(best)
-        spent += options[best][0]
-        covered |= set(options[best][1])
-    single = max((i for i, o in enumerate(options) if o[0] <= budget), key=lambda i: (sum(risk[p] for p in options[i][1]), -i), default=None)
-    if single is not None and sum(risk[p] for p in options[single][1]) > sum(risk[p] for p in covered):
-        return [single]
-    return taken
+    """Indices of chosen (cost, covered) options: by gain for cost within the budget, or the best single one if that gains more.
+
+    What an option adds only falls as others are taken, so a heap of last known
+    ratios suffices: only its top is worked out again.  What doesn't fit the money
+    left never will.  Covered packages are bits of a number.
+    """
+    bit = {name: 1 << k for k, name in enumerate(sorted(risk))}
+    masks = [sum(bit[n] for n in set(what)) for _, what in options]
+
+    def worth(mask: int) -> float:
+        return sum(r for n, r in risk.items() if mask & bit[n])
+
+    alone = [worth(m) for m in masks]
+    heap = [(-alone[i] / cost, i) for i, (cost, _) in enumerate(options) if cost <= budget]
+    heapq.heapify(heap)
+    best_alone = min((i for _, i in heap), key=lambda i: (-alone[i], i), default=None)
+    taken, met, money = [], 0, budget
+    while heap and money > 0:
+        stale, i = heap[0]
+        fresh = -worth(masks[i] & ~met) / options[i][0]
+        if options[i][0] > money or fresh >= 0:
+            heapq.heappop(heap)
+        elif fresh > stale:
+            heapq.heapreplace(heap, (fresh, i))
+        else:
+            heapq.heappop(heap)
+            taken, met, money = [*taken, i], met | masks[i], money - options[i][0]
+    return [best_alone] if best_alone is not None and alone[best_alone] > worth(met) else taken
 
 
 def plan(options: DataFrame, at_risk: DataFrame, budget: float = 10.0) -> DataFrame:

@@ -8,6 +8,7 @@ checkpointed, so plans stay short and a lost executor costs one level.
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,25 +52,54 @@ def degrees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return ends.groupBy("name").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH, reverse: bool = True, with_self: bool = True) -> DataFrame:
-    """(root, node, depth, paths): shortest depth and number of shortest paths from each root.
+#: Rows of two names and a number up to which a table is broadcast, and roots whose closures are kept at once.
+FEW = 100_000
+ROOTS = 50_000
+
+
+def modest(df: DataFrame) -> DataFrame:
+    """Broadcast what was counted and is small; else leave the join to the planner."""
+    return F.broadcast(df) if df.count() <= FEW else df
 
-    ``reverse`` walks from a package to its dependents.  Level by level: the
-    frontier meets the edges, rows already found are taken out by an anti join,
-    and path counts are combined before the shuffle ends.
+
+def closure_levels(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH, reverse: bool = True) -> tuple[list[DataFrame], DataFrame]:
+    """Levels (root, node, depth, paths) from each root, nearest first, and the steps (node, next, ways) they took.
+
+    The frontier meets the edges, rows already found are taken out by an anti
+    join, and path counts are combined before the shuffle ends.
     """
     near, far = ("dst", "src") if reverse else ("src", "dst")
-    steps = cut_lineage(edges.groupBy(F.col(near).alias("node"), F.col(far).alias("next")).agg(F.count("*").cast("double").alias("ways")))
+    steps = modest(cut_lineage(edges.groupBy(F.col(near).alias("node"), F.col(far).alias("next")).agg(F.count("*").cast("double").alias("ways"))))
     level = cut_lineage(roots.select(F.col("name").alias("root"), F.col("name").alias("node"), F.lit(0).alias("depth"), F.lit(1.0).alias("paths")).distinct())
-    seen, depth = level, 0
-    while max_depth is None or depth < max_depth:
-        depth += 1
+    levels = [level]
+    seen = level.select("root", "node")
+    while max_depth is None or len(levels) <= max_depth:
         reached = level.join(steps, "node").groupBy("root", F.col("next").alias("node")).agg(F.sum(F.col("paths") * F.col("ways")).alias("paths"))
-        level = cut_lineage(reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(depth).alias("depth"), "paths"))
+        level = cut_lineage(reached.join(seen, ["root", "node"], "left_anti").select("root", "node", F.lit(len(levels)).alias("depth"), "paths"))
         if level.isEmpty():
             break
-        seen = seen.unionAll(level)
-    return seen if with_self else seen.where("depth > 0")
+        levels.append(level)
+        seen = seen.unionAll(level.select("root", "node"))
+    return levels, steps
+
+
+def closure(edges: DataFrame, roots: DataFrame, max_depth: int | None = MAX_DEPTH, reverse: bool = True, with_self: bool = True) -> DataFrame:
+    """(root, node, depth, paths): shortest depth and number of shortest paths from each root.
+
+    ``reverse`` walks from a package to its dependents.  All pairs are what is
+    asked for; ``reach`` needs only their sums.
+    """
+    levels, _ = closure_levels(edges, roots, max_depth, reverse)
+    return reduce(DataFrame.unionAll, levels if with_self or len(levels) == 1 else levels[1:]).where("true" if with_self else "depth > 0")
+
+
+def reach(edges: DataFrame, nodes: DataFrame, downloads: DataFrame | None = None, max_depth: int | None = MAX_DEPTH, roots: int = ROOTS, **weights) -> DataFrame:
+    """``reach_summary`` of all nodes, for ``roots`` of them at a time, so pairs of one batch are all that is ever kept."""
+    batches, parts = max(1, -(-nodes.count() // roots)), []
+    for b in range(batches):
+        mine = nodes.where(F.pmod(F.xxhash64("name"), F.lit(batches)) == b) if batches > 1 else nodes
+        parts.append(cut_lineage(reach_summary(closure(edges, mine, max_depth), downloads, **weights)))
+    return reduce(DataFrame.unionAll, parts)
 
 
 def blast_radius(edges: DataFrame, name: str, max_nodes: int = MAX_NODES, max_depth: int = MAX_DEPTH, timeout_s: float = TIMEOUT_S) -> tuple[DataFrame, bool]:
@@ -165,20 +195,29 @@ def pivots(nodes: DataFrame, k: int = 100) -> DataFrame:
 def betweenness(edges: DataFrame, nodes: DataFrame, k: int = 100) -> DataFrame:
     """(name, betweenness): share of shortest forward paths, from the pivots, that pass each node.
 
-    Once depth and path counts of (s, t) are known, a node v lies on
-    paths(s, v) * paths(v, t) of them where depth(s, v) + depth(v, t) = depth(s, t).
+    One closure from the pivots gives depths and path counts.  Going back from
+    the deepest level, a node hands what depends on it, and itself, to its
+    predecessors in proportion to their paths; so k rows for each node are all
+    that is held.
     """
     n = nodes.count()
     if n <= 1:
         return nodes.select("name", F.lit(0.0).alias("betweenness"))
     k = min(k, n)
-    from_pivot = closure(edges, pivots(nodes, k), None, reverse=False, with_self=False).select(F.col("root").alias("s"), F.col("node").alias("t"), F.col("depth").alias("d_st"), F.col("paths").alias("p_st"))
-    inner = from_pivot.select("s", F.col("t").alias("v"), F.col("d_st").alias("d_sv"), F.col("p_st").alias("p_sv"))
-    starts = inner.select(F.col("v").alias("name")).distinct()
-    onward = closure(edges, starts, None, reverse=False, with_self=False).select(F.col("root").alias("v"), F.col("node").alias("t"), F.col("depth").alias("d_vt"), F.col("paths").alias("p_vt"))
-    through = inner.join(onward, "v").where("s <> t").join(from_pivot, ["s", "t"]).where("d_sv + d_vt = d_st")
-    share = through.groupBy(F.col("v").alias("name")).agg(F.sum(F.col("p_sv") * F.col("p_vt") / F.col("p_st")).alias("share"))
+    levels, steps = closure_levels(edges, pivots(nodes, k), None, reverse=False)
+    below, found = None, []
+    for level in reversed(levels[1:]):
+        here = level.select("root", "node", "paths")
+        here = here.withColumn("held", F.lit(0.0)) if below is None else here.join(below, ["root", "node"], "left").withColumn("held", F.coalesce("held", F.lit(0.0)))
+        here = cut_lineage(here)
+        found.append(here.select(F.col("node").alias("name"), "held"))
+        handed = here.select("root", F.col("node").alias("next"), ((1 + F.col("held")) / F.col("paths")).alias("each"))
+        above = levels[len(levels) - len(found) - 1].select("root", "node", F.col("paths").alias("own"))
+        below = handed.join(steps, "next").select("root", "node", (F.col("each") * F.col("ways")).alias("part")).join(above, ["root", "node"]).groupBy("root", "node").agg(F.sum(F.col("own") * F.col("part")).alias("held"))
     scale = (n / k) / max(1, (n - 1) * (n - 2))
+    if not found:
+        return nodes.select("name", F.lit(0.0).alias("betweenness"))
+    share = reduce(DataFrame.unionAll, found).groupBy("name").agg(F.sum("held").alias("share"))
     return nodes.join(share, "name", "left").select("name", (F.coalesce("share", F.lit(0.0)) * scale).alias("betweenness"))
 
 

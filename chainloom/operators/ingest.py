@@ -82,14 +82,26 @@ def reconcile(registry: DataFrame, stored: DataFrame) -> DataFrame:
     return gaps.groupBy("package").agg(F.array_sort(F.collect_list("version")).alias("missed"), F.count("*").alias("missed_count"))
 
 
+def feed_gaps(gaps: DataFrame) -> DataFrame:
+    """The record of each gap that ``reconcile`` found."""
+    # Fixed value: why a feed misses versions.
+    return gaps.select("package", "missed", "missed_count", F.lit("upstream_replication_loss").alias("reason"))
+
+
+def reload(rows: DataFrame, path: str) -> DataFrame:
+    """Replace all of a table by ``rows`` and return it as stored."""
+    rows.write.mode("overwrite").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def apply_deletions(packages: DataFrame, deleted: DataFrame) -> DataFrame:
     """Marks packages that a feed deleted as unpublished."""
     return packages.join(deleted.select("name").distinct().withColumn("__gone", F.lit(True)), "name", "left").withColumn("is_unpublished", F.coalesce("__gone", F.lit(False))).drop("__gone")
 
 
 def apply_tiers(packages: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Overwrites poll_tier of npm packages, by normalised name."""
-    new = tiers.select(F.lower(F.trim("name")).alias("__key"), F.col("tier").alias("__tier"))
+    """Overwrites poll_tier of npm packages, by normalised name; of several tiers for one name the least counts."""
+    new = tiers.groupBy(F.lower(F.trim("name")).alias("__key")).agg(F.min("tier").alias("__tier"))
     out = packages.join(new, (F.lower(F.trim(packages["name"])) == F.col("__key")) & (packages["ecosystem"] == "npm"), "left")
     return out.withColumn("poll_tier", F.coalesce("__tier", "poll_tier")).drop("__key", "__tier")
 

@@ -7,22 +7,31 @@ from pyspark.sql import functions as F
 
 
 def package_facts(packages: DataFrame, versions: DataFrame) -> DataFrame:
-    """name, version_count, publishers, has_install_hook, provenance (the alphabetically last), latest_version."""
+    """name, version_count, publishers, has_install_hook, provenance (the alphabetically last), latest_version.
+
+    The latest version is the one stored last where versions have a ``seq``, else the one published last.
+    """
+    newest = ("seq",) if "seq" in versions.columns else ("published_at", "version")
     facts = versions.groupBy(F.col("package").alias("name")).agg(
         F.count_distinct("version").alias("version_count"),
         F.count_distinct("publisher").alias("publishers"),
         F.max("has_install_hook").alias("has_install_hook"),
         F.max("provenance").alias("provenance"),
-        F.max_by("version", F.struct("published_at", "version")).alias("latest_version"),
+        F.max_by("version", F.struct(*newest)).alias("latest_version"),
     )
     out = packages.select("name").join(facts, "name", "left")
     return out.select("name", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("version_count", "publishers")], F.coalesce("has_install_hook", F.lit(False)).alias("has_install_hook"), F.coalesce("provenance", F.lit("UNKNOWN")).alias("provenance"), "latest_version")
 
 
-def package_list(facts: DataFrame, scores: DataFrame, fragility: DataFrame, checked: DataFrame) -> DataFrame:
-    """One row for each package, most consequential first."""
-    out = facts.join(scores.select("name", F.col("score").alias("consequence")), "name", "left").join(fragility.select("name", "fragility"), "name", "left").join(checked.select("name", "status"), "name", "left")
-    return out.select("*").withColumn("consequence", F.coalesce("consequence", F.lit(0.0))).orderBy(F.desc("consequence"), "name")
+def package_list(facts: DataFrame, scores: DataFrame, fragility: DataFrame, maintainers: DataFrame, rules: list[dict] | None = None) -> DataFrame:
+    """One row for each package with scores, maintainers and policy status, most consequential first."""
+    from . import policy
+
+    bus = maintainers.groupBy(F.col("package").alias("name")).agg(F.count_distinct("maintainer").cast("int").alias("maintainer_count"))
+    out = facts.join(scores.select("name", F.col("score").alias("consequence")), "name", "left").join(fragility.select("name", "fragility"), "name", "left").join(bus, "name", "left")
+    out = out.withColumns({"consequence": F.coalesce("consequence", F.lit(0.0)), "fragility": F.coalesce("fragility", F.lit(0.0)), "maintainer_count": F.coalesce("maintainer_count", F.lit(0))})
+    checked = policy.with_status(policy.violations(out, rules))
+    return checked.select(*out.columns, "status").orderBy(F.desc("consequence"), "name")
 
 
 def overview(packages: DataFrame, versions: DataFrame, maintainers: DataFrame, edges: DataFrame, scores: DataFrame) -> DataFrame:
@@ -47,7 +56,7 @@ def blast_report(edges: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     return totals.join(direct).join(score).select(F.lit(name).alias("name"), "*")
 
 
-def package_detail(name: str, versions: DataFrame, edges: DataFrame, events: DataFrame, reached: DataFrame) -> DataFrame:
+def package_detail(name: str, versions: DataFrame, edges: DataFrame, events: DataFrame, reached: DataFrame, rated: DataFrame | None = None) -> DataFrame:
     """One row with nested sections of one package; no row for an unknown one."""
     mine = versions.where(F.col("package") == name)
     history = mine.agg(F.reverse(F.array_sort(F.collect_list(F.struct("published_at", "version", "has_install_hook", "provenance")))).alias("versions"))
@@ -55,7 +64,14 @@ def package_detail(name: str, versions: DataFrame, edges: DataFrame, events: Dat
     down = edges.where(F.col("src") == name).agg(F.array_sort(F.collect_list("dst")).alias("dependencies"))
     seen = events.where(F.col("package") == name).agg(F.reverse(F.array_sort(F.collect_list(F.struct("observed_at", "event_type", "handle")))).alias("events"))
     radius = reached.where(F.col("root") == name).agg(F.count("*").alias("reach"), F.max("depth").alias("max_depth"))
-    return history.join(up).join(down).join(seen).join(radius).where(F.size("versions") > 0).select(F.lit(name).alias("name"), "*")
+    out = history.join(up).join(down).join(seen).join(radius).where(F.size("versions") > 0).select(F.lit(name).alias("name"), "*")
+    if rated is None:
+        return out
+    from . import fragility
+
+    mine = rated.where(F.col("package") == name).agg(F.max("fragility").alias("fragility"), F.coalesce(F.max("probability"), F.lit(0.0)).alias("probability"))
+    contract = fragility.evidence(out.join(mine).select(F.col("name").alias("package"), "probability", F.transform("dependents", lambda d: F.concat(d, F.lit(" -> "), F.col("name"))).alias("paths")))
+    return out.join(mine).join(contract.select(F.col("document").alias("evidence")))
 
 
 def scan_report(parsed: DataFrame, scores: DataFrame, fragility: DataFrame, rules: list[dict] | None = None, default_score: float = 35.0) -> DataFrame:
@@ -67,6 +83,11 @@ def scan_report(parsed: DataFrame, scores: DataFrame, fragility: DataFrame, rule
     return policy.with_status(policy.violations(rows, rules)).select("project_id", "name", "version", "is_direct", "consequence", "fragility", "status")
 
 
+def maintainer_history(events: DataFrame, mails: DataFrame) -> DataFrame:
+    """Maintainer events with what is known of each handle, newest first; unknown handles are left out."""
+    return events.join(mails, "handle").orderBy(F.desc("observed_at"), "package", "event_type", "handle")
+
+
 def live_summary(rows: DataFrame) -> DataFrame:
     """Adds status of a single-package summary: WARN at fragility 70 or consequence 75, else PASS."""
     return rows.withColumn("status", F.when((F.col("fragility") >= 70) | (F.col("consequence") >= 75), "WARN").otherwise("PASS"))

@@ -32,6 +32,11 @@ ADAPTERS = {
     "cyclic": f"SELECT DISTINCT {_pkg('a')} AS src, {_pkg('b')} AS dst FROM ({_pairs(30)}) t WHERE b IS NOT NULL AND a <> b",
     "dependencies": f"SELECT a AS from_version_id, b AS to_package_id, 'RUNTIME' AS kind, {_RANGE} AS range_raw FROM ({_pairs(35)}) t WHERE b IS NOT NULL AND a <> b",
     "multigraph": f"SELECT {_pkg('a')} AS src, {_pkg('b')} AS dst, {_RANGE} AS range_raw FROM ({_pairs(35)}) t WHERE b IS NOT NULL AND a <> b",
+    "project_edges": f"SELECT DISTINCT 'proj-' || cast(l_suppkey % 8 AS string) AS project_id, {_pkg('a')} AS src, {_pkg('b')} AS dst FROM ({_pairs(35)}) t WHERE b IS NOT NULL AND a <> b",
+    "mentions": (  # what the sources below say, import by import
+        "SELECT 'proj-' || cast(c_nationkey % 5 AS string) AS project_id, 'src/f' || cast(c_custkey AS string) || '.js' AS path, c_custkey % 4 AS kind, 'pkg-' || cast(c_custkey % 90 AS string) AS a, "
+        "'@scope/p' || cast(c_custkey % 90 AS string) AS b, 'pkg-' || cast(c_custkey % 7 AS string) AS c, 'pkg-' || cast(c_custkey % 11 AS string) AS d FROM {customer}"
+    ),
     "versions": (
         f"SELECT {_pkg('o_custkey')} AS package, cast(o_orderkey AS string) AS version, o_orderkey AS seq, o_orderdate AS published_at, "
         "CASE WHEN o_orderpriority LIKE '4%' THEN NULL ELSE o_orderpriority END AS publisher, cast(floor(o_totalprice) AS bigint) AS size, "

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import semver
 from ..functions import text as X
 from ..operators import consequence, customer, fragility, graph, ingest, policy, reachability, reports
+from ..session import shared_folder
 from ..sources import corpus, lockfiles
 from . import documents as D
 from .adapters import view, with_views
@@ -101,7 +102,7 @@ REACH = CLOSURE + """, summary AS (SELECT root AS name, count(*) AS reach, avg(d
 
 @query(with_views(["edges", "nodes"], REACH + " SELECT name, reach, round(mean_depth, 6) AS mean_depth, max_depth, round(weighted_downloads, 4) AS weighted_downloads FROM summary", True))
 def reach_summary(spark, sf):
-    out = graph.reach_summary(graph.closure(view(spark, sf, "edges"), view(spark, sf, "nodes")))
+    out = graph.reach(view(spark, sf, "edges"), view(spark, sf, "nodes"))
     return out.select("name", "reach", F.round("mean_depth", 6).alias("mean_depth"), "max_depth", F.round("weighted_downloads", 4).alias("weighted_downloads"))
 
 
@@ -450,7 +451,7 @@ def fragility_scores(spark, sf):
     return fragility.predict(_vectors(spark, sf)).select("package", "version", F.round("z", 6).alias("z"), "fragility", "probability")
 
 
-_NAMED = [(s, f"{w}::DOUBLE * {s}") for s, w in fragility.scoring.WEIGHTS.items()] + [(f"interaction:{a}*{b}", f"{w}::DOUBLE * {a} * {b}") for (a, b), w in fragility.scoring.INTERACTIONS.items()]
+_NAMED = [(s, f"{w}::DOUBLE * {s}") for s, w in fragility.scoring.WEIGHTS.items()] + [(f"interaction:{fragility.scoring.INTERACTION_NAMES[a, b]}", f"{w}::DOUBLE * {a} * {b}") for (a, b), w in fragility.scoring.INTERACTIONS.items()]
 PARTS = ", parts AS (" + " UNION ALL ".join(f"SELECT package, version, '{n}' AS signal, {e} AS value FROM normal" for n, e in _NAMED) + ")"
 
 
@@ -507,68 +508,101 @@ def _register_parsers():
 
 _register_parsers()
 
-ROOTED = """, tops AS (SELECT DISTINCT src FROM edges WHERE src NOT IN (SELECT dst FROM edges)), tree AS (SELECT src, dst FROM edges UNION ALL SELECT 'root', src FROM tops),
-    all_nodes AS (SELECT DISTINCT dst AS node FROM tree), reached AS (SELECT 'root' AS node UNION SELECT t.dst FROM reached r JOIN tree t ON t.src = r.node),
-    cutoff AS (SELECT node AS d, 'root' AS node FROM all_nodes UNION SELECT c.d, t.dst FROM cutoff c JOIN tree t ON t.src = c.node WHERE t.dst <> c.d),
-    dominated AS (SELECT a.node, r.node AS dominated FROM all_nodes a JOIN reached r ON r.node <> a.node AND r.node <> 'root' JOIN reached x ON x.node = a.node
-        WHERE NOT EXISTS (SELECT 1 FROM cutoff c WHERE c.d = a.node AND c.node = r.node))"""
+ROOTED = """, tops AS (SELECT DISTINCT project_id, src FROM project_edges e WHERE NOT EXISTS (SELECT 1 FROM project_edges x WHERE x.project_id = e.project_id AND x.dst = e.src)),
+    tree AS (SELECT project_id, src, dst FROM project_edges UNION ALL SELECT project_id, 'root', src FROM tops),
+    all_nodes AS (SELECT DISTINCT project_id, dst AS node FROM tree), reached AS (SELECT project_id, 'root' AS node FROM tops UNION SELECT r.project_id, t.dst FROM reached r JOIN tree t ON t.project_id = r.project_id AND t.src = r.node),
+    cutoff AS (SELECT project_id, node AS d, 'root' AS node FROM all_nodes UNION SELECT c.project_id, c.d, t.dst FROM cutoff c JOIN tree t ON t.project_id = c.project_id AND t.src = c.node WHERE t.dst <> c.d),
+    dominated AS (SELECT a.project_id, a.node, r.node AS dominated FROM all_nodes a JOIN reached r ON r.project_id = a.project_id AND r.node <> a.node AND r.node <> 'root' JOIN reached x ON x.project_id = a.project_id AND x.node = a.node
+        WHERE NOT EXISTS (SELECT 1 FROM cutoff c WHERE c.project_id = a.project_id AND c.d = a.node AND c.node = r.node))"""
 
 
 def _tree(spark, sf):
-    edges = view(spark, sf, "edges")
-    tops = edges.select("src").distinct().join(edges.select(F.col("dst").alias("src")), "src", "left_anti").select(F.lit("root").alias("src"), F.col("src").alias("dst"))
-    return edges.unionByName(tops).select(F.lit("all").alias("project_id"), F.lit("root").alias("root"), "src", "dst")
+    edges = view(spark, sf, "project_edges")
+    tops = edges.select("project_id", "src").distinct().join(edges.select("project_id", F.col("dst").alias("src")), ["project_id", "src"], "left_anti").select("project_id", F.lit("root").alias("src"), F.col("src").alias("dst"))
+    return edges.unionByName(tops).select("project_id", F.lit("root").alias("root"), "src", "dst")
 
 
-@query(with_views(["edges"], ROOTED + " SELECT node, dominated FROM dominated", True))
+@query(with_views(["project_edges"], ROOTED + " SELECT project_id, node, dominated FROM dominated", True))
 def dominated_sets(spark, sf):
-    return graph.dominated_sets(graph.immediate_dominators(_tree(spark, sf))).where("node <> 'root'").select("node", "dominated")
+    return graph.dominated_sets(graph.immediate_dominators(_tree(spark, sf))).where("node <> 'root'").select("project_id", "node", "dominated")
 
 
 @query(
     with_views(
-        ["edges"],
-        ROOTED + ", depth AS (SELECT dominated, count(*) AS n FROM dominated GROUP BY dominated) SELECT r.node, coalesce((SELECT x.node FROM dominated x LEFT JOIN depth y ON y.dominated = x.node WHERE x.dominated = r.node ORDER BY coalesce(y.n, 0) DESC LIMIT 1), 'root') AS idom FROM reached r WHERE r.node <> 'root'",
+        ["project_edges"],
+        ROOTED
+        + """, depth AS (SELECT project_id, dominated, count(*) AS n FROM dominated GROUP BY project_id, dominated),
+        near AS (SELECT x.project_id, x.dominated, arg_max(x.node, coalesce(y.n, 0)) AS node FROM dominated x LEFT JOIN depth y ON y.project_id = x.project_id AND y.dominated = x.node GROUP BY x.project_id, x.dominated)
+        SELECT r.project_id, r.node, coalesce(near.node, 'root') AS idom FROM reached r LEFT JOIN near ON near.project_id = r.project_id AND near.dominated = r.node WHERE r.node <> 'root'""",
         True,
     )
 )
 def dominator_tree(spark, sf):
-    return graph.immediate_dominators(_tree(spark, sf)).where("idom IS NOT NULL").select("node", "idom")
+    return graph.immediate_dominators(_tree(spark, sf)).where("idom IS NOT NULL").select("project_id", "node", "idom")
 
 
 def _risky(spark, sf):
-    nodes = graph.nodes_of(view(spark, sf, "edges"))
-    return nodes.where("length(name) % 2 = 0").select(F.lit("all").alias("project_id"), "name", F.col("name").substr(5, 20).cast("double").alias("risk"))
+    edges = view(spark, sf, "project_edges")
+    nodes = edges.select("project_id", F.col("src").alias("name")).union(edges.select("project_id", "dst")).distinct()
+    return nodes.where("length(name) % 2 = 0").select("project_id", "name", F.col("name").substr(5, 20).cast("double").alias("risk"))
 
 
-CANDIDATES = ROOTED + """, risk AS (SELECT name, substr(name, 5)::DOUBLE AS risk FROM (SELECT src AS name FROM edges UNION SELECT dst FROM edges) WHERE length(name) % 2 = 0),
-    reach2 AS (SELECT d.node AS target, d.dominated AS name FROM dominated d JOIN tops ON tops.src = d.node UNION SELECT src, src FROM tops),
-    grp AS (SELECT target, string_agg(name, ',' ORDER BY name) AS covered, sum(risk) AS gain FROM reach2 JOIN risk USING (name) GROUP BY target)"""
+CANDIDATES = ROOTED + """, risk AS (SELECT project_id, name, substr(name, 5)::DOUBLE AS risk FROM (SELECT project_id, src AS name FROM project_edges UNION SELECT project_id, dst FROM project_edges) WHERE length(name) % 2 = 0),
+    reach2 AS (SELECT d.project_id, d.node AS target, d.dominated AS name FROM dominated d JOIN tops ON tops.project_id = d.project_id AND tops.src = d.node UNION SELECT project_id, src, src FROM tops),
+    grp AS (SELECT project_id, target, list(name ORDER BY name) AS covered, sum(risk) AS gain FROM reach2 JOIN risk USING (project_id, name) GROUP BY project_id, target),
+    cand AS (SELECT project_id, action, target, cost, covered, gain, ord FROM grp, (VALUES ('UPGRADE', 2.0::DOUBLE, 0), ('PIN', 1.0::DOUBLE, 1), ('REMOVE', 4.0::DOUBLE, 2)) t(action, cost, ord)
+        UNION ALL SELECT project_id, 'OVERRIDE', name, 1.5::DOUBLE, [name], risk, 3 FROM risk WHERE NOT EXISTS (SELECT 1 FROM tops WHERE tops.project_id = risk.project_id AND tops.src = risk.name))"""
 
 
-@query(
-    with_views(
-        ["edges"],
-        CANDIDATES + """ SELECT action, target, cost, covered, gain FROM grp, (VALUES ('UPGRADE', 2.0::DOUBLE), ('PIN', 1.0::DOUBLE), ('REMOVE', 4.0::DOUBLE)) t(action, cost)
-        UNION ALL SELECT 'OVERRIDE', name, 1.5::DOUBLE, name, risk FROM risk WHERE name NOT IN (SELECT src FROM tops)""",
-        True,
-    )
-)
+@query(with_views(["project_edges"], CANDIDATES + " SELECT project_id, action, target, cost, array_to_string(covered, ',') AS covered, gain FROM cand", True))
 def intervention_candidates(spark, sf):
     tree = graph.cut_lineage(_tree(spark, sf))
     direct = tree.where("src = 'root'").select("project_id", F.col("dst").alias("name"))
     out = customer.candidates(direct, graph.dominated_sets(graph.immediate_dominators(tree)), _risky(spark, sf))
-    return out.select("action", "target", "cost", F.array_join("covered", ",").alias("covered"), "gain")
+    return out.select("project_id", "action", "target", "cost", F.array_join("covered", ",").alias("covered"), "gain")
 
 
-@query()
-def intervention_plan(spark, sf):
+# Greedy choice as a recursion over steps; a project's options are a list, and its state what is met and spent.
+PLANNED = CANDIDATES + """, o AS (SELECT project_id, list({'action': action, 'target': target, 'cost': cost, 'covered': covered, 'gain': gain} ORDER BY action = 'OVERRIDE', target, ord) AS options FROM cand GROUP BY project_id),
+    steps AS (SELECT project_id, 0 AS step, options, []::VARCHAR[] AS met, 0.0::DOUBLE AS spent, 0::BIGINT AS pick FROM o
+        UNION ALL SELECT project_id, step + 1, options, list_distinct(list_concat(met, options[b.i].covered)), spent + options[b.i].cost, b.i FROM (
+            SELECT *, list_sort(list_filter(list_transform(options, lambda x, i: {'r': -coalesce(list_sum(list_transform(list_filter(x.covered, lambda p: NOT list_contains(met, p)), lambda p: substr(p, 5)::DOUBLE)), 0) / x.cost, 'i': i, 'c': x.cost}), lambda y: spent + y.c <= 10.0))[1] AS b
+            FROM steps WHERE spent < 10.0) WHERE b.r < 0),
+    greedy AS (SELECT project_id, max_by(met, step) AS met, max(spent) AS spent FROM steps GROUP BY project_id),
+    single AS (SELECT project_id, list_sort(list_filter(list_transform(options, lambda x, i: {'g': -x.gain, 'i': i, 'c': x.cost}), lambda y: y.c <= 10.0))[1] AS b, options FROM o),
+    sums AS (SELECT g.project_id, s.options, s.b, g.met, g.spent, list_sum(list_transform(g.met, lambda p: substr(p, 5)::DOUBLE)) AS got, (SELECT sum(risk) FROM risk WHERE risk.project_id = g.project_id) AS total FROM greedy g JOIN single s USING (project_id)),
+    final AS (SELECT project_id, CASE WHEN -b.g > coalesce(got, 0) THEN 1 ELSE 0 END AS alone, options, b, total, CASE WHEN -b.g > coalesce(got, 0) THEN options[b.i].covered ELSE met END AS met, CASE WHEN -b.g > coalesce(got, 0) THEN options[b.i].cost ELSE spent END AS spent, CASE WHEN -b.g > coalesce(got, 0) THEN -b.g ELSE got END AS got FROM sums),
+    picks AS (SELECT f.project_id, 1 AS step, options[b.i] AS x FROM final f WHERE alone = 1 UNION ALL SELECT s.project_id, s.step, s.options[s.pick] FROM steps s JOIN final f USING (project_id) WHERE alone = 0 AND s.step > 0),
+    planned AS (SELECT p.project_id, p.step, x.action AS action, x.target AS target, x.cost AS cost, x.covered AS covered, round(got, 2) AS eliminated, round(total, 2) AS total, round(got / total * 100, 1) AS percentage, spent AS cost_used, f.met FROM picks p JOIN final f USING (project_id))"""
+
+
+def _plans(spark, sf):
     tree = graph.cut_lineage(_tree(spark, sf))
     direct = tree.where("src = 'root'").select("project_id", F.col("dst").alias("name"))
     options = customer.candidates(direct, graph.dominated_sets(graph.immediate_dominators(tree)), _risky(spark, sf))
     return customer.plan(options, _risky(spark, sf), 10.0)
 
 
+@query(
+    with_views(
+        ["project_edges"],
+        PLANNED
+        + """ SELECT project_id, step, action, target, cost, array_to_string(list_sort(covered), ',') AS covered, eliminated, total, percentage, cost_used,
+        coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM risk WHERE risk.project_id = planned.project_id AND NOT list_contains(planned.met, name)), '') AS unresolved FROM planned""",
+        True,
+    )
+)
+def intervention_plan(spark, sf):
+    out = _plans(spark, sf)
+    return out.withColumn("covered", F.array_join("covered", ",")).withColumn("unresolved", F.array_join("unresolved", ","))
+
+
+@query(with_views(["project_edges"], PLANNED + ", gone AS (SELECT DISTINCT project_id, unnest(covered) AS name FROM planned) SELECT project_id, string_agg(name || '=latest-safe', ',' ORDER BY name) AS overrides FROM gone GROUP BY project_id", True))
+def manifest_overrides(spark, sf):
+    out = customer.overrides(_plans(spark, sf))
+    return out.select("project_id", F.array_join(F.array_sort(F.transform(F.map_entries("overrides"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("overrides"))
+
+
 # ---- policy, reachability, reports ------------------------------------------
 
 RULES = (
@@ -680,14 +714,11 @@ def feed_apply_stream(spark, sf):
 
     from ..streaming import feed
 
-    shared = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or _local_dir(spark)).rstrip("/")
-    base = f"{shared}/chainloom/feed-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/chainloom/feed-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     changes = spark.readStream.schema(schema).parquet(f"{sf}/event[s].parquet").selectExpr("cast(event_id AS string) AS seq", "'pkg-' || cast(user_id AS string) AS id", "event_type = 'error' AS deleted")
     feed.follow(changes, f"{base}/out", f"{base}/checkpoint")
     return feed.last_write_wins(spark.read.parquet(f"{base}/out"))
 
 
-def _local_dir(spark):
-    graph.cut_lineage(spark.range(1))
-    return spark.sparkContext.getCheckpointDir()
+from . import workflows  # noqa: E402, F401  (registers its queries)

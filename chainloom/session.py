@@ -16,13 +16,24 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the cluster's shared folder; a local folder is set only where none is (tests)."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a local one only on a local master where none is set (tests)."""
+    sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        import tempfile
+        found = spark.conf.get("spark.checkpoint.dir", None)
+        if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            import tempfile
+
+            found = tempfile.mkdtemp(prefix="chainloom-")
+        sc.setCheckpointDir(found)
+    return (spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()).rstrip("/")
 
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chainloom-"))
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint to the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

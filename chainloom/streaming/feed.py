@@ -18,7 +18,7 @@ def read_feed(spark: SparkSession, folder: str, schema: str = CHANGES, fmt: str
 def dispatch(changes: DataFrame, can_hydrate: bool = True) -> DataFrame:
     """Adds number (null for a sequence that is no integer) and status: marked_unpublished, hydrated or processed."""
     named = F.coalesce(F.col("id") != "", F.lit(False))
-    status = F.when(F.coalesce("deleted", F.lit(False)), "marked_unpublished").when(named & F.lit(can_hydrate), "hydrated").otherwise("processed")
+    status = F.when(named & F.coalesce("deleted", F.lit(False)), "marked_unpublished").when(named & F.lit(can_hydrate), "hydrated").otherwise("processed")
     return changes.withColumn("number", F.col("seq").try_cast("long")).withColumn("status", status)
 
 
@@ -31,11 +31,16 @@ def follow(feed: DataFrame, out: str, checkpoint: str, hydrate: Callable[[DataFr
     """Process all that is there, then stop; a restart with the same checkpoint goes on behind it.
 
     Each batch is appended with its number; a batch that is replayed after a
-    failure overwrites its own part, so events land exactly once.
+    failure overwrites its own part, and an event that an earlier batch brought is
+    left out, so events land exactly once.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        events = dispatch(df.dropDuplicates(["seq", "id"]), hydrate is not None)
+        new = df.dropDuplicates(["seq", "id"])
+        if n:
+            earlier = df.sparkSession.read.schema("seq string, id string, batch long").parquet(out).where(F.col("batch") < n).select(F.col("seq").alias("s"), F.col("id").alias("i"))
+            new = new.join(earlier, new["seq"].eqNullSafe(earlier["s"]) & new["id"].eqNullSafe(earlier["i"]), "left_anti")
+        events = dispatch(new, hydrate is not None)
         events.withColumn("batch", F.lit(n)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
         if hydrate is not None:
             hydrate(events.where("status = 'hydrated'"))
@@ -57,8 +62,8 @@ def running_alerts(rows: DataFrame, budget: int = 10):
 
     def count(key, frames, state):
         used = state.get[0] if state.exists else 0
-        for f in frames:
-            f = f.sort_values("arrival")
+        # A trigger's rows of one tenant come in several frames; three plain columns of them are put in order as a whole.
+        for f in [pd.concat(frames).sort_values("arrival", kind="stable")]:
             alerts = []
             for ok in f["eligible"]:
                 fire = bool(ok) and used < budget

@@ -115,13 +115,13 @@ def test_verdicts_and_documents(spark):
     out = reachability.verdicts(adv, index)
     got = {r["vulnerability"]: (r["reachability"], r["confidence"]) for r in out.collect()}
     assert got == {"V1": ("NOT_REACHABLE", "HIGH"), "V2": ("REACHABLE", "HIGH"), "V3": ("REACHABLE_INSTALL", "HIGH"), "V4": ("NOT_REACHABLE", "MEDIUM"), "V5": ("NOT_REACHABLE", "HIGH"), "V6": ("UNKNOWN", "LOW"), "V7": ("REACHABLE", "LOW")}
-    vex = json.loads(reachability.openvex(out).first()["document"])
+    vex = json.loads(reachability.openvex(out.withColumn("project_id", F.lit("p")), ("project_id",)).first()["document"])
     status = {s["vulnerability"]["name"]: s["status"] for s in vex["statements"]}
     assert status["V1"] == "not_affected" and status["V3"] == "affected" and status["V4"] == "under_investigation"
-    assert len(json.loads(reachability.cyclonedx_vex(out).first()["document"])["vulnerabilities"]) == 7
-    assert len(json.loads(reachability.cyclonedx_vex(out, compat_first_only=True).first()["document"])["vulnerabilities"]) == 1
+    assert len(json.loads(reachability.cyclonedx_vex(out.withColumn("project_id", F.lit("p")), ("project_id",)).first()["document"])["vulnerabilities"]) == 7
+    assert len(json.loads(reachability.cyclonedx_vex(out.withColumn("project_id", F.lit("p")), ("project_id",), compat_first_only=True).first()["document"])["vulnerabilities"]) == 1
     scores = spark.createDataFrame([("a", 50.0)], "name string, score double")
-    bom = json.loads(reachability.sbom_export(spark.createDataFrame([("a",), ("b",)], "name string"), scores).first()["document"])
+    bom = json.loads(reachability.sbom_export(spark.createDataFrame([("a", "p"), ("b", "p")], "name string, project_id string"), scores, ("project_id",)).first()["document"])
     assert [c["properties"][0]["value"] for c in bom["components"]] == ["50.0", "35.0"]
 
 
