@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Characters of text that one vectorised step of a Python worker handles.
 CHUNK_CHARS = 1_000_000
+#: Bytes of an Arrow batch (one row at least).
+BATCH_BYTES = 8 << 20
 #: Rows of a few numbers up to which a table is broadcast: under 8 MB.
 FEW = 100_000
 #: Ids up to which a set of nothing else is broadcast: under 40 MB.
@@ -147,6 +149,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     return sorted(((i, t, marks[i]) for i, t in texts.items()), key=lambda r: (fold_of_value(r[0], 1 << 31), r[0]))
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_BYTES``, so a worker never holds thousands of whole texts at once.
+
+    Spark reads the bound from the session when the plan runs, so it stays set there.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Index ranges of consecutive texts of at most ``limit`` characters (one text at least)."""
     start = size = 0

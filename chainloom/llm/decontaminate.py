@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_text, texts_of
+from .common import hash_text, in_arrow, texts_of
 
 RATE = 0.06
 MIN_CHARS = 30
@@ -182,7 +182,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
                 found = list(zip(*rows)) or [[]] * 7
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(found, types)], [*columns, "item", "said"])
 
-        parts.append(picked.mapInArrow(run, f"{schema}, item string, said long"))
+        parts.append(in_arrow(picked, run, f"{schema}, item string, said long"))
     if not parts:
         return spark.createDataFrame([], schema)
     if len(parts) > 1:  # an id's texts may lie in several blocks; equal rows of a document are counted and stay
@@ -203,5 +203,5 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
             for b in batches:
                 yield b.filter(pa.array([not match(normal(t), first_only=True) for t in texts_of(b.column(at))], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = in_arrow(docs, run, docs.schema)
     return docs

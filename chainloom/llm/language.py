@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_CHARS, chunks, fold_of, fold_of_value, kept, texts_of
+from .common import CHUNK_CHARS, chunks, fold_of, fold_of_value, in_arrow, kept, texts_of
 
 DIM = 4096
 SHARPNESS = 24.0
@@ -219,4 +219,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, folds: int = 4, held
                     ["doc_id", "held_out", "lang_pred", "score"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return in_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BoundedCache, chunks, cut, discard, fresh, hash_text, mix, of_ids, small, texts_of
+from .common import BoundedCache, chunks, cut, discard, fresh, hash_text, in_arrow, mix, of_ids, small, texts_of
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ASCII_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -115,7 +115,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                         rows.append((i, 0, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], ["doc", "n_shingles", "digest", "bands", "sig"])
 
-    return with_id(docs).mapInArrow(run, "doc long, n_shingles long, digest binary, bands array<long>, sig binary")
+    return in_arrow(with_id(docs), run, "doc long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 def with_id(docs: DataFrame) -> DataFrame:
@@ -204,7 +204,7 @@ def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
                     found.append((key, node))
             yield pairs_schema(found)
 
-    found = cut(texts.mapInArrow(run, "a binary, b binary"), "stars")
+    found = cut(in_arrow(texts, run, "a binary, b binary"), "stars")
     discard(wanted)
     return found
 
@@ -266,7 +266,7 @@ def rest_links(open_: DataFrame, docs: DataFrame, percent: int, block: int) -> D
             rows = [held[i] for i in np.flatnonzero(hit).tolist()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in zip((0, 1, 2, 3, 4, 5, 6), (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary()))], ["hub", "x", "y", "own", "node", "doc", "label"])
 
-    wanted = cut(dealt(keyed, "hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(candidates, "hub long, x long, y long, own long, node binary, doc long, label binary"), "wanted")
+    wanted = cut(in_arrow(dealt(keyed, "hub", "x", "y").sortWithinPartitions("hub", "x", "y"), candidates, "hub long, x long, y long, own long, node binary, doc long, label binary"), "wanted")
     texts = dealt(of_ids(with_id(docs), "doc", wanted.select("doc").distinct()).join(small(wanted), "doc"), "hub", "x", "y").select("hub", "x", "y", "own", "node", "label", "text").sortWithinPartitions("hub", "x", "y")
 
     def confirm(batches):
@@ -275,7 +275,7 @@ def rest_links(open_: DataFrame, docs: DataFrame, percent: int, block: int) -> D
             sets = [(r, shingle(r[6] or "")) for r in held]
             yield pairs_schema(links_in([(r[4], r[5], r[3], s) for r, s in sets if digest_of(s) == r[4]], percent, held[0][1] != held[0][2]))
 
-    found = cut(texts.mapInArrow(confirm, "a binary, b binary"), "rest")
+    found = cut(in_arrow(texts, confirm, "a binary, b binary"), "rest")
     discard(wanted)
     return found
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, texts_of
+from .common import chunks, cut, in_arrow, texts_of
 from .tokens import load_encoder
 
 END = 2
@@ -60,7 +60,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32", "part", "k"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, PIECES)
+    return in_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, PIECES)
 
 
 @dataclass
@@ -147,4 +147,4 @@ def pack(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS, max
                 sequence[group], offset[group] = seq[at] + rank[group] - first[at], off[at]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return in_arrow(ranked, run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

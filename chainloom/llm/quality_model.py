@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import CHUNK_CHARS, chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
+from .common import CHUNK_CHARS, chunks, fold_of_value, hash_text, in_arrow, kept, labelled_sample, mix, texts_of
 
 BUCKETS = 1 << 17
 DIM = 12
@@ -172,4 +172,4 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = 0.3,
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")

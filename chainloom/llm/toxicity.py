@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BoundedCache, chunks, fold_of_value, hash_text, kept, labelled_sample, mix, texts_of
+from .common import BoundedCache, chunks, fold_of_value, hash_text, in_arrow, kept, labelled_sample, mix, texts_of
 
 WORD = re.compile(r"\w+")
 BITS = 20
@@ -134,7 +134,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3
                     ["doc_id", "held_out", "score", "predicted"],
                 )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return in_arrow(docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text"), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
@@ -148,4 +148,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
             clean = [s < threshold for lo, hi in chunks(texts) for s in score(texts[lo:hi])]
             yield b.filter(pa.array(clean, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

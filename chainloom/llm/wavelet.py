@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, shared_dir, texts_of
+from .common import chunks, in_arrow, shared_dir, texts_of
 from .tokens import load_encoder
 
 END = 2
@@ -190,7 +190,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end: int = END
     schema = pa.schema([("first_doc", pa.int64()), ("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("file", pa.binary())])
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
+    in_arrow(ordered, run, SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def shard_starts(shards: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 k = len(names)
                 yield pa.RecordBatch.from_pydict({"doc_id": [None if x == -(1 << 63) else x for x in names.tolist()], "part": [part] * k, "shard": [shard] * k, "local": at[:-1], "n_tokens": lengths, "ids_crc32": crc}, schema=schema)
 
-    decoded = shards.select("part", "shard", "file").mapInArrow(run, "doc_id long, part int, shard int, local long, n_tokens long, ids_crc32 long")
+    decoded = in_arrow(shards.select("part", "shard", "file"), run, "doc_id long, part int, shard int, local long, n_tokens long, ids_crc32 long")
     return decoded.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
