@@ -49,10 +49,6 @@ def compared(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def name_in_doc(line_no: Column, line: Column) -> Column:
-    return F.xxhash64(line_no, line)
-
-
 def exact_repeats(docs: DataFrame, scratch: list) -> DataFrame:
     """(doc, line_no, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes.
 
@@ -60,7 +56,7 @@ def exact_repeats(docs: DataFrame, scratch: list) -> DataFrame:
     task gathers a line's copies; any other line is at most that part of all.
     ``scratch`` gets the tables it wrote.
     """
-    seen = lines_of(docs).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no", name_in_doc(F.col("line_no"), F.col("line")).alias("o"))
+    seen = lines_of(docs).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no")
     seen = cut(seen, "seen")  # the texts are split and hashed once, not for each side of the join
     place = F.struct("doc", "line_no")
     first = cut(seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
@@ -68,7 +64,7 @@ def exact_repeats(docs: DataFrame, scratch: list) -> DataFrame:
     scratch += [seen, first, common]
     often = seen.join(F.broadcast(common), ["a", "b"])
     seldom = seen.join(F.broadcast(common), ["a", "b"], "left_anti").join(small(first.join(F.broadcast(common), ["a", "b"], "left_anti").drop("n")), ["a", "b"])
-    return often.unionByName(seldom).where(place != F.col("first")).select("doc", "line_no", "o")
+    return often.unionByName(seldom).where(place != F.col("first")).select("doc", "line_no", F.col("a").alias("o"))
 
 
 def without(docs: DataFrame, gone: DataFrame, n_gone: str, scratch: list) -> DataFrame:
@@ -84,7 +80,7 @@ def without(docs: DataFrame, gone: DataFrame, n_gone: str, scratch: list) -> Dat
     discard(*scratch)
     scratch[:] = [lists]
     joined = docs.join(small(lists, F.size(list_)), F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)) == F.col(doc), "left")
-    here = f"transform(filter(`{list_}`, g -> g.line_no < size(t.lines) AND xxhash64(g.line_no, lower(btrim(t.lines[g.line_no], ' \\t\\r'))) = g.o), g -> g.line_no)"
+    here = f"transform(filter(`{list_}`, g -> g.line_no < size(t.lines) AND xxhash64(lower(btrim(t.lines[g.line_no], ' \\t\\r'))) = g.o), g -> g.line_no)"
     gaps = "transform(sequence(0, size(u.at)), j -> slice(u.lines, if(j = 0, 1, u.at[j - 1] + 2), if(j = size(u.at), size(u.lines), u.at[j]) - if(j = 0, 0, u.at[j - 1] + 1)))"
     at = f"transform(array(struct(split(text, '\\n') AS lines)), t -> struct(t.lines AS lines, {here} AS at))"
     made = fresh(docs, "made")
@@ -198,7 +194,7 @@ def near_repeats(docs: DataFrame, scratch: list, edits: int = MAX_EDITS, min_cha
     p, q = (texts.select(F.col("name").alias(x), F.col("line").alias(f"{x}_line")) for x in "pq")
     both = pairs.join(p, "p").join(q, "q").where(within_edits("p_line", "q_line", edits))
     later = both.select(F.when(F.col("p") > F.col("q"), F.struct("p", F.col("p_line").alias("line"))).otherwise(F.struct(F.col("q").alias("p"), F.col("q_line").alias("line"))).alias("x"))
-    return later.select(F.col("x.p.doc").alias("doc"), F.col("x.p.line_no").alias("line_no"), name_in_doc(F.col("x.p.line_no"), F.col("x.line")).alias("o")).distinct()
+    return later.select(F.col("x.p.doc").alias("doc"), F.col("x.p.line_no").alias("line_no"), F.xxhash64("x.line").alias("o")).distinct()
 
 
 def dedup_lines(docs: DataFrame, edits: int = MAX_EDITS, min_chars: int = MIN_CHARS, hot: int = HOT, counts: bool = True) -> DataFrame:
