@@ -354,6 +354,11 @@ def dominated_sets(idoms: DataFrame, key: str = "project_id") -> DataFrame:
         out = out.unionAll(level)
 
 
+def links(edges: DataFrame) -> DataFrame:
+    """Links of the graph export: source, target, range and its class, and how many versions declare it."""
+    return edges.groupBy(F.col("src").alias("source"), F.col("dst").alias("target"), "range_raw", "range_class").agg(F.count("*").alias("n"))
+
+
 def node_link(edges: DataFrame, nodes: DataFrame, scores: DataFrame, facts: DataFrame) -> DataFrame:
     """Nodes of the graph export: name, score, degrees, install hook, provenance."""
     return (

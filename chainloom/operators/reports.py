@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -83,6 +83,15 @@ def scan_report(parsed: DataFrame, scores: DataFrame, fragility: DataFrame, rule
     return policy.with_status(policy.violations(rows, rules)).select("project_id", "name", "version", "is_direct", "consequence", "fragility", "status")
 
 
+def first_of_each(rows: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The first ``n`` rows of each key, for a display (the limit is the feature).
+
+    Each partition keeps its own first ``n`` before any row moves.
+    """
+    own = Window.partitionBy(key).orderBy(order)
+    return rows.withColumn("__place", F.row_number().over(own)).where(F.col("__place") <= n).drop("__place")
+
+
 def maintainer_history(events: DataFrame, mails: DataFrame) -> DataFrame:
     """Maintainer events with what is known of each handle, newest first; unknown handles are left out."""
     return events.join(mails, "handle").orderBy(F.desc("observed_at"), "package", "event_type", "handle")

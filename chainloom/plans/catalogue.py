@@ -31,6 +31,9 @@ def query(oracle: str | None = None):
 
 # ---- graph -----------------------------------------------------------------
 
+#: Classes of the ranges that the adapters use.
+FORMS = """CASE WHEN range_raw LIKE '^%' THEN 'CARET' WHEN range_raw LIKE '~%' THEN 'TILDE' WHEN range_raw = '*' THEN 'WILDCARD' WHEN range_raw LIKE 'git%' THEN 'GIT' WHEN range_raw = '1.2.3' THEN 'EXACT' ELSE 'RANGE' END"""
+
 
 def _multigraph(spark, sf):
     return view(spark, sf, "multigraph").withColumn("range_class", semver.classify(F.col("range_raw")))
@@ -661,7 +664,7 @@ def cyclonedx_state(spark, sf):
 @query(
     with_views(
         ["nodes", "versions"],
-        """SELECT name, count(DISTINCT version) AS version_count, count(DISTINCT publisher) AS publishers, coalesce(bool_or(has_install_hook), false) AS has_install_hook, coalesce(max(provenance), 'UNKNOWN') AS provenance, max_by(version, (published_at, version)) AS latest_version
+        """SELECT name, count(DISTINCT version) AS version_count, count(DISTINCT publisher) AS publishers, coalesce(bool_or(has_install_hook), false) AS has_install_hook, coalesce(max(provenance), 'UNKNOWN') AS provenance, max_by(version, seq) AS latest_version
         FROM nodes LEFT JOIN versions ON package = name GROUP BY name""",
     )
 )
@@ -673,38 +676,44 @@ def package_report(spark, sf):
     with_views(
         ["components", "nodes", "versions", "maintainers", "edges"],
         """SELECT (SELECT count(*) FROM nodes) AS packages, (SELECT count(*) FROM versions) AS versions, (SELECT count(*) FROM maintainers) AS maintainers, (SELECT count(*) FROM edges) AS edges,
-        count(*) FILTER (consequence >= 75) AS critical, count(*) FILTER (consequence >= 50 AND consequence < 75) AS high, count(*) FILTER (consequence < 50) AS low FROM components""",
+        count(*) FILTER (consequence >= 75) AS critical, count(*) FILTER (consequence >= 50 AND consequence < 75) AS high, count(*) FILTER (consequence < 50) AS low, 24 AS early_warning_hours, 72 AS notification_hours, 14 AS final_report_days, 1 AS sla_rules FROM components""",
     )
 )
 def overview_counts(spark, sf):
-    return reports.overview(*(view(spark, sf, n) for n in ("nodes", "versions", "maintainers", "edges")), view(spark, sf, "components").withColumnRenamed("consequence", "score"))
+    return reports.overview(*(view(spark, sf, n) for n in ("nodes", "versions", "maintainers", "edges")), view(spark, sf, "components").withColumnRenamed("consequence", "score")).join(policy.sla_summary(spark))
 
 
 @query(
     with_views(
-        ["nodes", "multigraph", "hooks"],
-        "SELECT n.name, 0.0::DOUBLE AS score, (SELECT count(*) FROM multigraph m WHERE m.dst = n.name) AS in_degree, (SELECT count(*) FROM multigraph m WHERE m.src = n.name) AS out_degree, h.has_install_hook, 'UNKNOWN' AS provenance FROM nodes n JOIN hooks h USING (name)",
+        ["nodes", "multigraph", "hooks", "components", "versions"],
+        "SELECT n.name, coalesce((SELECT consequence FROM components WHERE 'pkg-' || c_custkey::VARCHAR = n.name), 0.0)::DOUBLE AS score, (SELECT count(*) FROM multigraph m WHERE m.dst = n.name) AS in_degree, (SELECT count(*) FROM multigraph m WHERE m.src = n.name) AS out_degree, h.has_install_hook, coalesce((SELECT max(provenance) FROM versions v WHERE v.package = n.name), 'UNKNOWN') AS provenance FROM nodes n JOIN hooks h USING (name)",
     )
 )
 def graph_export(spark, sf):
-    scores = spark.createDataFrame([], "name string, score double")
-    return graph.node_link(_multigraph(spark, sf), view(spark, sf, "nodes"), scores, view(spark, sf, "hooks").withColumn("provenance", F.lit("UNKNOWN")))
+    scores = view(spark, sf, "components").select(F.concat(F.lit("pkg-"), "c_custkey").alias("name"), F.col("consequence").alias("score"))
+    said = view(spark, sf, "versions").groupBy(F.col("package").alias("name")).agg(F.max("provenance").alias("provenance"))
+    return graph.node_link(_multigraph(spark, sf), view(spark, sf, "nodes"), scores, view(spark, sf, "hooks").join(said, "name", "left"))
+
+
+@query(with_views(["multigraph"], f"SELECT src AS source, dst AS target, range_raw, {FORMS} AS range_class, count(*) AS n FROM multigraph GROUP BY ALL"))
+def graph_export_links(spark, sf):
+    return graph.links(_multigraph(spark, sf))
 
 
 @query(
     with_views(
         ["versions", "components"],
         """, a AS (SELECT package AS name, max_by(version, seq) AS version FROM versions WHERE seq % 2 = 0 GROUP BY 1), b AS (SELECT package AS name, max_by(version, seq) AS version FROM versions WHERE seq % 3 = 0 GROUP BY 1),
-        s AS (SELECT 'pkg-' || c_custkey::VARCHAR AS name, consequence FROM components)
+        s AS (SELECT 'pkg-' || c_custkey::VARCHAR AS name, consequence, fragility FROM components)
         SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.version IS NULL THEN 'ADDED' WHEN b.version IS NULL THEN 'REMOVED' ELSE 'CHANGED' END AS change, a.version AS old_version, b.version AS new_version, coalesce(s.consequence, 0) AS consequence,
-        CASE WHEN a.version IS NULL THEN coalesce(s.consequence, 0) WHEN b.version IS NULL THEN -coalesce(s.consequence, 0) ELSE 0 END AS risk_delta FROM a FULL JOIN b ON a.name = b.name LEFT JOIN s ON s.name = coalesce(a.name, b.name) WHERE a.version IS DISTINCT FROM b.version""",
+        CASE WHEN a.version IS NULL THEN coalesce(s.consequence, 0) WHEN b.version IS NULL THEN -coalesce(s.consequence, 0) ELSE 0 END AS risk_delta, s.fragility FROM a FULL JOIN b ON a.name = b.name LEFT JOIN s ON s.name = coalesce(a.name, b.name) WHERE a.version IS DISTINCT FROM b.version""",
     )
 )
 def snapshot_diff(spark, sf):
     v = view(spark, sf, "versions")
     snap = lambda c: v.where(c).groupBy(F.col("package").alias("name")).agg(F.max_by("version", "seq").alias("version"))
-    scores = view(spark, sf, "components").select(F.concat(F.lit("pkg-"), F.col("c_custkey").cast("string")).alias("name"), F.col("consequence").alias("score"))
-    return reports.snapshot_diff(snap("seq % 2 = 0"), snap("seq % 3 = 0"), scores)
+    scores = view(spark, sf, "components").select(F.concat(F.lit("pkg-"), F.col("c_custkey").cast("string")).alias("name"), F.col("consequence").alias("score"), "fragility")
+    return reports.snapshot_diff(snap("seq % 2 = 0"), snap("seq % 3 = 0"), scores, scores)
 
 
 @query("SELECT 'pkg-' || user_id::VARCHAR AS id, max(event_id) AS number, CASE WHEN max_by(event_type, event_id) = 'error' THEN 'marked_unpublished' ELSE 'processed' END AS status FROM events GROUP BY user_id")

@@ -428,6 +428,57 @@ def pnpm_entries(spark, sf):
     return rows.select(F.col("project_id").cast("long").alias("c_custkey"), "name", "version", "is_direct")
 
 
+@query("SELECT c_custkey, 'cdx' AS format, 'lib-' || c_custkey::VARCHAR AS name, '2.' || (c_custkey % 4)::VARCHAR AS version, 'ref-' || (c_custkey % 8)::VARCHAR || ' *' AS needs FROM customer UNION ALL SELECT c_custkey, 'spdx', 'lib-' || c_custkey::VARCHAR, CASE WHEN c_custkey % 2 = 0 THEN '2.' || (c_custkey % 4)::VARCHAR ELSE '0.0.0' END, '' FROM customer")
+def sbom_entries(spark, sf):
+    """Bills of materials of both formats, written from the table and read by the parsers."""
+    c = F.col("c_custkey")
+    name, version = F.concat(F.lit("lib-"), c), F.concat(F.lit("2."), c % 4)
+    cdx = F.to_json(F.struct(F.array(F.struct(name.alias("name"), version.alias("version"), F.concat(F.lit("r"), c).alias("bom-ref"))).alias("components"), F.array(F.struct(F.concat(F.lit("r"), c).alias("ref"), F.array(F.concat(F.lit("ref-"), c % 8)).alias("dependsOn"))).alias("dependencies")))
+    spdx = F.to_json(F.struct(F.array(F.struct(name.alias("name"), F.when(c % 2 == 0, version).alias("versionInfo"))).alias("packages")))
+    t, out = _table(spark, sf, "customer"), None
+    for fmt, text, parser in (("cdx", cdx, lockfiles.cyclonedx), ("spdx", spdx, lockfiles.spdx)):
+        rows = parser(graph.cut_lineage(t.select(c.alias("project_id"), text.alias("content"))))
+        rows = rows.select(F.col("project_id").alias("c_custkey"), F.lit(fmt).alias("format"), "name", "version", F.array_join(F.transform(F.map_entries("dependencies"), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ",").alias("needs"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+@query(
+    with_views(
+        ["project_edges"],
+        LOCKED + " SELECT project_id, name FROM (SELECT project_id, name, row_number() OVER (PARTITION BY project_id ORDER BY name) AS place FROM own) WHERE place <= 15",
+    )
+)
+def scan_display(spark, sf):
+    """The first fifteen dependencies of each project, as a display shows them."""
+    parsed = lockfiles.parse_lockfiles(graph.cut_lineage(_locked(spark, sf)))
+    return reports.first_of_each(parsed.select("project_id", "name"), "project_id", "name", 15)
+
+
+@query(with_views(["mentions"], "SELECT project_id, path FROM (SELECT project_id, path, row_number() OVER (PARTITION BY project_id ORDER BY path) AS place FROM mentions) WHERE place <= 50"))
+def first_sources(spark, sf):
+    return reports.first_of_each(_sources(spark, sf).select("project_id", "path"), "project_id", "path", 50)
+
+
+RANGES = """, r AS (SELECT c_custkey, '1.' || (c_custkey % 5)::VARCHAR || '.' || (c_custkey % 3)::VARCHAR AS version, c_custkey % 5 AS b, c_custkey % 3 AS c, c_custkey % 13 AS k FROM customer),
+    forms(k, range_raw, range_class) AS (VALUES (0, '>=1.1.0 <1.3.0', 'RANGE'), (1, '1.x', 'RANGE'), (2, 'latest', 'WILDCARD'), (3, '', 'WILDCARD'), (4, 'workspace:*', 'WORKSPACE'), (5, 'npm:other@1.0.0', 'ALIAS'), (6, 'git+https://h/x', 'GIT'), (7, 'https://h/x.tgz', 'URL'), (8, '=1.2.1', 'EXACT'), (9, '1.0.0 - 1.2.0', 'RANGE'), (10, '>1.2.0 || <1.1.0', 'RANGE'), (11, '^1.2.0', 'CARET'), (12, '~1.3.0', 'TILDE'))"""
+
+
+@query(
+    "WITH x AS (SELECT 1)"
+    + RANGES
+    + """ SELECT c_custkey, version, range_raw, range_class, CASE k WHEN 0 THEN b >= 1 AND b < 3 WHEN 8 THEN b = 2 AND c = 1 WHEN 10 THEN (b > 2 OR (b = 2 AND c > 0)) AND b < 1 WHEN 11 THEN b >= 2 WHEN 12 THEN b = 3 ELSE true END AS ok FROM r JOIN forms USING (k)"""
+)
+def range_forms(spark, sf):
+    """All classes of ranges, several tokens, bars and hyphens: every token must hold, and what is no comparison holds."""
+    from ..functions import semver
+
+    forms = F.array(*[F.lit(x) for x in (">=1.1.0 <1.3.0", "1.x", "latest", "", "workspace:*", "npm:other@1.0.0", "git+https://h/x", "https://h/x.tgz", "=1.2.1", "1.0.0 - 1.2.0", ">1.2.0 || <1.1.0", "^1.2.0", "~1.3.0")])
+    k = F.col("c_custkey")
+    rows = _table(spark, sf, "customer").select("c_custkey", F.concat(F.lit("1."), k % 5, F.lit("."), k % 3).alias("version"), forms[(k % 13).cast("int")].alias("range_raw"))
+    return rows.withColumn("range_class", semver.classify(F.col("range_raw"))).withColumn("ok", semver.satisfies(F.col("version"), F.col("range_raw")))
+
+
 # ---- reports -------------------------------------------------------------------
 
 
@@ -451,7 +502,7 @@ def package_list(spark, sf):
         ["multigraph", "versions", "polls", "components"],
         C.POLLS
         + SCORES
-        + f""", target AS ({C.BUSIEST.format(e='multigraph')}), walk AS (SELECT dst AS node, 0 AS depth FROM target UNION SELECT e.src, w.depth + 1 FROM walk w JOIN multigraph e ON e.dst = w.node WHERE w.depth < 30), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
+        + f""", target AS ({C.BUSIEST.format(e='multigraph WHERE dst IN (SELECT package FROM versions)')}), walk AS (SELECT dst AS node, 0 AS depth FROM target UNION SELECT e.src, w.depth + 1 FROM walk w JOIN multigraph e ON e.dst = w.node WHERE w.depth < 30), least AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)
         SELECT dst AS name, (SELECT string_agg(version, ',' ORDER BY published_at DESC, version DESC) FROM versions WHERE package = dst) AS versions, (SELECT string_agg(src, ',' ORDER BY src) FROM multigraph m WHERE m.dst = target.dst) AS dependents,
         coalesce((SELECT string_agg(m.dst, ',' ORDER BY m.dst) FROM multigraph m WHERE m.src = target.dst), '') AS dependencies, (SELECT count(*) FROM found WHERE package = target.dst)::INT AS n_events, (SELECT count(*) FROM least) AS reach, (SELECT max(depth) FROM least) AS max_depth,
         (SELECT fragility FROM scores WHERE name = target.dst) AS fragility, CASE WHEN (SELECT fragility FROM scores WHERE name = target.dst) >= 50 THEN 'HIGH' ELSE 'MEDIUM' END AS confidence FROM target WHERE EXISTS (SELECT 1 FROM versions WHERE package = dst)""",
@@ -459,9 +510,9 @@ def package_list(spark, sf):
     )
 )
 def package_detail(spark, sf):
-    """All sections of the package with most direct dependents."""
+    """All sections of the package with most direct dependents among those with versions."""
     edges, versions = graph.cut_lineage(view(spark, sf, "multigraph")), view(spark, sf, "versions")
-    name = C._busiest(edges)
+    name = C._busiest(edges.join(versions.select(F.col("package").alias("dst")).distinct(), "dst", "left_semi"))
     reached = graph.blast_radius(edges, name, timeout_s=3600)[0].select(F.lit(name).alias("root"), "node", "depth")
     rated = _scores(spark, sf).select(F.col("name").alias("package"), "fragility", (F.col("fragility") / 100).alias("probability"))
     d = reports.package_detail(name, versions, edges, ingest.maintainer_events(ingest.snapshots(view(spark, sf, "polls"))), reached, rated)
