@@ -14,7 +14,8 @@ of near-orthogonal n-grams; it scales all languages alike and never decides.
 
 Defined results: null text or a text without letters is ``und`` with score 0;
 ties go to the first language in alphabetical order; with no labelled row all
-texts are ``und``; repeated rows and empty tables need no special case.
+texts are ``und``; very long texts count whole; ids must be whole numbers; repeated
+rows and empty tables need no special case.
 """
 
 from __future__ import annotations

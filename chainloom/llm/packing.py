@@ -13,7 +13,8 @@ The executors then number the pieces of each length and look their place up in
 the plan; no group of rows is gathered anywhere.
 
 Defined results: a null or empty text is one piece with the end id only; repeated
-rows are packed once each; an empty table gives no rows.
+rows are packed once each; a very long text is encoded whole and cut into as many
+pieces as it needs; ids must be whole numbers; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ in that average, so scoring needs one number for each feature; these are cached
 by word.
 
 Defined results: null or empty text has no feature, so the class bias decides;
-repeated rows score alike; an empty table gives no rows; without labelled rows of
+repeated rows score alike; very long texts are scored whole; ids must be whole
+numbers; an empty table gives no rows; without labelled rows of
 both classes every score is 0.5.
 """
 

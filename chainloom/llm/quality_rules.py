@@ -13,7 +13,8 @@ Words are runs of characters other than blank and U+0009 to U+000D.
 
 Defined results: a null or empty text has no words, all statistics 0, and fails
 the base rules; repeated rows get equal verdicts; without good labelled documents
-every rule is off and the base rules alone decide; empty tables give no rows.
+every rule is off and the base rules alone decide; statistics of very long texts
+cover them whole; ids must be whole numbers; empty tables give no rows.
 """
 
 from __future__ import annotations

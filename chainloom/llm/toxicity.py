@@ -7,7 +7,8 @@ Per-coordinate rates and the L1 term leave few non-zero weights, so what goes to
 the executors is a pair of small arrays whose size is checked.
 
 Defined results: null or empty text has no feature but the bias, so its score is
-the bias alone; repeated rows score alike; an empty table gives no rows; without
+the bias alone; repeated rows score alike; very long texts are scored whole; ids must be whole
+numbers; an empty table gives no rows; without
 labelled rows of both classes every score is 0.5.
 """
 

@@ -13,8 +13,9 @@ Files are rows of a binary column written by Spark itself, one for each shard,
 so any store Spark can write will do and a lost task is written again.
 
 Defined results: a null text counts as empty and has only the end id; documents
-with the same id follow each other, ordered by text; a null id sorts first; an
-empty table gives no shard and no row.
+with the same id follow each other, ordered by text; a null id sorts first; a very
+long text is encoded whole and may make a shard of its own that is longer; ids
+must be whole numbers; an empty table gives no shard and no row.
 """
 
 from __future__ import annotations
@@ -223,6 +224,51 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     return decoded.join(shard_starts(shards), ["part", "shard"]).select("doc_id", (F.col("shard_start") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
 
 
+def _per_shard(shards: DataFrame, answer, fields: str, types: list) -> DataFrame:
+    """part, shard and what ``answer(matrix, ask)`` gives, row by row; ``ask`` is the shard's column of that name if it has one."""
+    asked = "ask" in shards.columns
+    names = ["part", "shard", *(f.split()[0] for f in fields.split(", "))]
+
+    def run(batches):
+        for b in batches:
+            for row in zip(*(c.to_pylist() for c in b.columns)):
+                found = list(answer(from_file(row[2])[0], row[3] if asked else None))
+                columns = list(zip(*found)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array([row[0]] * len(found), pa.int32()), pa.array([row[1]] * len(found), pa.int32()), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+
+    return in_arrow(shards.select("part", "shard", "file", *(["ask"] if asked else [])), run, f"part int, shard int, {fields}")
+
+
+def count_tokens(spark: SparkSession, path: str, tokens: list[int]) -> DataFrame:
+    """(token, n): occurrences of each token in all files, from ranks alone."""
+    counts = _per_shard(spark.read.parquet(path), lambda m, _: ((t, m.count(t)) for t in tokens), "token long, n long", [pa.int64(), pa.int64()])
+    return counts.groupBy("token").agg(F.sum("n").alias("n"))
+
+
+def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
+    """(position): where a token stands in the sequence of all ids, from selects alone."""
+    shards = spark.read.parquet(path)
+    found = _per_shard(shards, lambda m, _: ((m.select(token, k),) for k in range(m.count(token))), "local long", [pa.int64()])
+    return found.join(shard_starts(shards), ["part", "shard"]).select((F.col("shard_start") + F.col("local")).alias("position"))
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token) of the positions that exist: each goes to its shard, and only those shards are read bit by bit.
+
+    Shards and positions meet by stretches of ``SHARD_TOKENS`` ids, an equi-join.
+    """
+    shards = spark.read.parquet(path)
+    starts = shard_starts(shards).join(shards.select("part", "shard", "n_tokens"), ["part", "shard"])
+    end = F.col("shard_start") + F.col("n_tokens")
+    stretch = lambda at: F.floor(at / SHARD_TOKENS).cast("long")
+    spread = starts.select("*", end.alias("end"), F.explode(F.sequence(stretch(F.col("shard_start")), stretch(end - 1))).alias("stretch"))
+    asked = positions.select("position").distinct().withColumn("stretch", stretch(F.col("position"))).join(spread, "stretch")
+    asked = asked.where((F.col("position") >= F.col("shard_start")) & (F.col("position") < F.col("end")))
+    asks = asked.groupBy("part", "shard").agg(F.collect_list(F.col("position") - F.col("shard_start")).alias("ask"))
+    found = _per_shard(shards.join(asks, ["part", "shard"]), lambda m, ask: ((i, m.access(i)) for i in ask), "local long, token long", [pa.int64(), pa.int64()])
+    return found.join(starts, ["part", "shard"]).select((F.col("shard_start") + F.col("local")).alias("position"), "token")
+
+
 def encode_to_files(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Write all documents as shards in the shared folder and return what reading them back gives."""
     spark = docs.sparkSession

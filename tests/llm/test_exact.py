@@ -55,6 +55,39 @@ def test_token_files(spark):
     assert wavelet.encode_to_files(docs.where("false"), tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def test_token_files_answer_questions(spark, tmp_path):
+    """Access, count and occurrences through written files of several shards, against the plain sequence."""
+    draw = random.Random(3)
+    docs = docs_of(spark, [" ".join(draw.choice("the cat sat on a mat and 12 don't".split()) for _ in range(draw.randint(0, 60))) for _ in range(60)] + ["long " * 3000])
+    path = str(tmp_path / "shards")
+    wavelet.write_shards(docs, tokenizer("word_bpe_49k.json"), path, shard_tokens=300)
+    encode = tokens.load_encoder(tokenizer("word_bpe_49k.json"))
+    ids = np.concatenate([np.append(np.frombuffer(encode([r["text"]])[0], "<u4"), 2) for r in docs.orderBy("doc_id").collect()])
+    assert spark.read.parquet(path).count() > 5
+    asked = [0, 1, 17, len(ids) - 1, len(ids), *draw.sample(range(len(ids)), 50)]
+    got = {r["position"]: r["token"] for r in wavelet.tokens_at(spark, path, spark.createDataFrame([(p,) for p in asked], "position long")).collect()}
+    assert got == {p: int(ids[p]) for p in asked if p < len(ids)}
+    some = [2, int(ids[0]), int(ids[5]), 48_000]
+    assert {r["token"]: r["n"] for r in wavelet.count_tokens(spark, path, some).collect()} == {t: int((ids == t).sum()) for t in some}
+    assert sorted(r["position"] for r in wavelet.occurrences(spark, path, some[2]).collect()) == np.flatnonzero(ids == some[2]).tolist()
+
+
+def test_packing_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, "word " * 30_000, 5, "x"), (1, "word " * 30_000, 5, "x"), (None, "", 6, "y"), (3, None, 7, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, length int, sequence_id string")
+    out = packing.pack(docs, tokenizer("byte_bpe_50k.json")).collect()
+    n = len(tokens.load_encoder(tokenizer("byte_bpe_50k.json"))(["word " * 30_000])[0]) // 4 + 1
+    mine = sorted((r["start"], r["length"]) for r in out if r["doc_id"] == 1)
+    assert mine == sorted(packing.cut_points(n, 1024) * 2) and sum(r["length"] for r in out) == 2 * n + 2
+    assert len({(r["sequence_id"], r["offset"]) for r in out}) == len(out)
+
+
+def test_rules_on_long_texts_ties_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c " * 40_000, 1, 2), (2, "ä" * 300_000, 1, 2), (2, "ä" * 300_000, 1, 2)], "doc_id long, text string, n_words int, h int")
+    rows = quality_rules.rule_statistics(docs).collect()
+    assert sorted((r["doc_id"], r["n_words"], r["word_chars"], r["n_repeat_words"]) for r in rows) == [(1, 120_000, 120_000, 120_000), (2, 1, 300_000, 0), (2, 1, 300_000, 0)]
+
+
 def test_packing(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text").union(docs_of(spark, [None, ""]).select("doc_id", "text"))
     rows = packing.pack(docs, tokenizer("byte_bpe_50k.json")).collect()
