@@ -6,12 +6,13 @@ unbiased signature values.  Bands of ``ROWS`` values bring candidates together.
 
 1. Documents with equal shingle sets form a class (equal 128-bit digests); the
    smallest id stands for it, so copies are never compared.
-2. In each band, every class is compared on full sets with the least class of
-   that band: work in proportion to the rows, whatever the size of a group.
+2. In each band, every class is compared with the least class of that band, by
+   signatures, and where these agree to within five standard errors of the threshold
+   on full sets: work in proportion to the rows, whatever the size of a group.
 3. The links are contracted to components.  Only bands whose classes are still of
    several components have pairs left.  Their signatures are compared in blocks,
-   each pair of blocks a task of its own; a pair that agrees to within five standard
-   errors, in the first band it shares, is confirmed on full sets.
+   each pair of blocks a task of its own; a pair that agrees in the same way, in the
+   first band it shares, is confirmed on full sets.
 4. Components of all links; copies follow their class.
 
 Equality of words and shingles is equality of 64-bit hashes (BLAKE2b of the word,
@@ -176,6 +177,23 @@ def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.repartition(n, *keys)
 
 
+def likely(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The (center, center_doc, node, doc, size) pairs whose signatures agree to within five standard errors of ``percent``."""
+    least = least_agreement(percent)
+    sigs = reps.select("node", "sig")
+    both = pairs.join(sigs, "node").join(sigs.select(F.col("node").alias("center"), F.col("sig").alias("center_sig")), "center")
+
+    def run(batches):
+        for b in batches:
+            one, two = (np.frombuffer(b"".join(b.column(k).to_pylist()), SHORT).reshape(b.num_rows, -1) for k in (5, 6))
+            yield b.select([0, 1, 2, 3, 4]).filter(pa.array((one == two).sum(1) >= least, pa.bool_()))
+
+    return in_arrow(both.select(*PAIR.split()[::2], "sig", "center_sig"), run, ", ".join(map(" ".join, zip(PAIR.split()[::2], PAIR.split()[1::2]))))
+
+
+PAIR = "center binary center_doc long node binary doc long size long"
+
+
 def star_links(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among (center, node) pairs, confirmed on full sets.
 
@@ -320,7 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = 80, block: int = BLOCK) -> D
     # Classes that share an id are one node.
     ids = full.groupBy("doc").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc", "a")
     same = full.select("doc", F.col("digest").alias("b")).join(ids, "doc").select("a", "b").where("a <> b").distinct()
+    pairs = cut(likely(pairs, reps, percent), "pairs")
     stars = star_links(pairs, docs, percent)
+    discard(pairs)
     found = components(stars.unionAll(same))
 
     # The rest: bands of three and more classes that aren't one component yet.
