@@ -32,7 +32,7 @@ MAX_EDITS = 1
 MIN_CHARS = 20
 #: Index lines of a key above which it is split again.
 HOT = 50
-MAX_LEVELS = 5
+MAX_LEVELS = 12
 #: The most frequent lines, joined by broadcast: at most so many, of more than so many copies each.
 FREQUENT, COPIES = 10_000, 200
 NULL_ID = -(1 << 63)
