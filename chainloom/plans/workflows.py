@@ -16,7 +16,7 @@ from ..functions import text as X
 from ..functions.scoring import intervention_cost
 from ..operators import customer, epochs, fragility, graph, ingest, policy, reachability, reports
 from ..session import shared_folder
-from ..sources import corpus, lockfiles, packuments, trees
+from ..sources import corpus, lockfiles, packuments, seed, trees
 from ..streaming import feed
 from . import catalogue as C
 from .adapters import view, with_views
@@ -126,6 +126,18 @@ def blob_read(spark, sf):
     return ingest.read_blob(spark, path, first).select("sha256", F.decode("content", "UTF-8").alias("text"))
 
 
+@query(
+    """WITH RECURSIVE e(src, dst) AS (VALUES ('chalk', 'ansi-styles'), ('chalk', 'supports-color'), ('ansi-styles', 'color-convert'), ('color-convert', 'color-name'), ('supports-color', 'has-flag'), ('express', 'accepts'), ('express', 'body-parser'), ('express', 'chalk'),
+    ('api-gateway', 'express'), ('web-dashboard', 'express'), ('web-dashboard', 'chalk'), ('auth-service', 'express'), ('payment-api', 'api-gateway'), ('admin-portal', 'web-dashboard'), ('event-stream', 'flatmap-stream')),
+    w AS (SELECT DISTINCT dst AS root, dst AS node, 0 AS depth FROM e UNION SELECT DISTINCT src, src, 0 FROM e UNION SELECT w.root, e.src, w.depth + 1 FROM w JOIN e ON e.dst = w.node)
+    SELECT root, node, min(depth) AS depth FROM w GROUP BY root, node"""
+)
+def seed_radius(spark, sf):
+    """The starting registry hydrated, its package graph, and every blast radius in it."""
+    edges = api.hydrate(seed.packuments(spark))["edges"].select(F.col("package").alias("src"), F.col("dependency").alias("dst")).distinct()
+    return graph.closure(edges, graph.nodes_of(edges)).select("root", "node", "depth")
+
+
 # ---- keyed writes ------------------------------------------------------------
 
 
