@@ -33,7 +33,9 @@ MIN_CHARS = 20
 #: Index lines of a key above which it is split again.
 HOT = 50
 MAX_LEVELS = 12
-#: The most frequent lines, joined by broadcast: at most so many, of more than so many copies each.
+#: Repeated lines, four numbers each, that are broadcast: under 16 MB.
+FEW_LINES = 250_000
+#: The most frequent lines of more, joined by broadcast: at most so many, of more than so many copies each.
 FREQUENT, COPIES = 10_000, 200
 NULL_ID = -(1 << 63)
 
@@ -52,19 +54,24 @@ def compared(line: Column) -> Column:
 def exact_repeats(docs: DataFrame, scratch: list) -> DataFrame:
     """(doc, line_no, o) of lines with an equal earlier line.  Equal means equal in two 64-bit hashes.
 
-    The ``FREQUENT`` commonest lines meet their first place by broadcast, so no
-    task gathers a line's copies; any other line is at most that part of all.
+    Up to ``FEW_LINES`` repeated lines meet their copies by broadcast.  Of more, the
+    ``FREQUENT`` commonest do, so no task gathers a line's copies; any other line is
+    at most that part of all.
     ``scratch`` gets the tables it wrote.
     """
     seen = lines_of(docs).select(F.xxhash64("line").alias("a"), F.xxhash64(F.lit(1), "line").alias("b"), "doc", "line_no")
     seen = cut(seen, "seen")  # the texts are split and hashed once, not for each side of the join
     place = F.struct("doc", "line_no")
     first = cut(seen.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1"), "first")
+    scratch += [seen, first]
+    again = F.col("first") != place
+    if first.count() <= FEW_LINES:
+        return seen.join(F.broadcast(first.drop("n")), ["a", "b"]).where(again).select("doc", "line_no", F.col("a").alias("o"))
     common = cut(first.where(F.col("n") > COPIES).orderBy(F.desc("n"), "a", "b").limit(FREQUENT).drop("n"), "common")
-    scratch += [seen, first, common]
+    scratch.append(common)
     often = seen.join(F.broadcast(common), ["a", "b"])
     seldom = seen.join(F.broadcast(common), ["a", "b"], "left_anti").join(small(first.join(F.broadcast(common), ["a", "b"], "left_anti").drop("n")), ["a", "b"])
-    return often.unionByName(seldom).where(place != F.col("first")).select("doc", "line_no", F.col("a").alias("o"))
+    return often.unionByName(seldom).where(again).select("doc", "line_no", F.col("a").alias("o"))
 
 
 def without(docs: DataFrame, gone: DataFrame, n_gone: str, scratch: list) -> DataFrame:

@@ -162,8 +162,10 @@ def test_band_automaton(spark):
         assert df.where(line_dedup.within_edits("a", "b", k) != (F.levenshtein("a", "b") <= k)).count() == 0
 
 
-@pytest.mark.parametrize("edits, hot", [(1, 50), (1, 3), (2, 3)])
-def test_line_dedup(spark, edits, hot):
+@pytest.mark.parametrize("edits, hot, few", [(1, 50, 250_000), (1, 3, 0), (2, 3, 0)])
+def test_line_dedup(spark, monkeypatch, edits, hot, few):
+    monkeypatch.setattr(line_dedup, "FEW_LINES", few)
+    monkeypatch.setattr(line_dedup, "COPIES", 3)
     draw = random.Random(edits * 10 + hot)
     base = ["alpha beta gamma delta", "one two three four five", "lorem ipsum dolor sit amet x", "  Alpha Beta Gamma Delta\t"]
     docs = [(i, "\n".join(mutated(draw, draw.choice(base), 3) if draw.random() < 0.9 else "short" for _ in range(draw.randint(0, 6))), "k") for i in range(80)] + [(200, None, "k"), (201, "", None), (202, "x" * 50_000, "k")]
