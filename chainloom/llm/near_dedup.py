@@ -145,7 +145,7 @@ def components(links: DataFrame) -> DataFrame:
         discard(before)
     discard(at)
     if not maps:
-        return links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
+        return cut(links.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false"), "labels")
     out = maps[-1].select("node", F.col("to").alias("label"))
     for earlier in maps[-2::-1]:
         later = out.select(F.col("node").alias("to"), "label")

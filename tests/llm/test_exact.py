@@ -301,6 +301,15 @@ def test_near_duplicates_in_bands_without_a_link_to_the_center(spark):
     assert len({c for _, c in got.values()}) > 8
 
 
+def test_near_duplicates_linked_by_blocks_only(spark):
+    """Two texts whose every shared band has a third one as its center, with which neither is linked: stars find no link at all."""
+    common = " ".join(f"c100x{i}" for i in range(89))
+    texts = {i: f"{common} " + " ".join(f"{x}100x{k}" for k in range(n)) for i, (x, n) in enumerate([("a", 9), ("b", 7), ("d", 8)])}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(df, 85).collect()}
+    assert got == brute_components(texts, 85) and got[2][1] == 1 and got[0][1] == 0
+
+
 def test_components(spark):
     draw = random.Random(6)
     chain = [(i, i + 1) for i in range(60)]
