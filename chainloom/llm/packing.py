@@ -32,6 +32,8 @@ from .tokens import load_encoder
 
 END = 2
 MAX_TOKENS = 1024
+#: Characters of texts that are encoded in one step: their words then are few enough for the processor's caches.
+STEP_CHARS = 100_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, k long"
 
 
@@ -52,7 +54,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, max_tokens: int = MAX_TOKENS
         seen = np.zeros(max_tokens + 1, np.int64)
         for b in batches:
             names, texts = b.column(0).to_pylist(), texts_of(b.column(1))
-            for lo, hi in chunks(texts):
+            for lo, hi in chunks(texts, STEP_CHARS):
                 rows = []
                 for name, made in zip(names[lo:hi], encoder(texts[lo:hi])):
                     made = memoryview(made + tail)

@@ -20,7 +20,6 @@ import numpy as np
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: All other white space but blank and line feed.
 RARE_SPACE = "\t\r\x0b\x0c\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-MAX_PIECES = 1_000_000
 #: Pieces that are joined for one call.
 GROUP = 300
 
@@ -32,8 +31,11 @@ def _pack(ids) -> bytes:
 class Encoder:
     """Common part: the cache and the direct way."""
 
+    #: Pieces of a generation; a worker holds two, and what is met again moves to the younger one.
+    most = 500_000
+
     def __init__(self, tokenizer, specials: list[str]):
-        self.tokenizer, self.pieces, self.direct_only = tokenizer, {}, [*ODD_SPACE, *specials]
+        self.tokenizer, self.pieces, self.older, self.direct_only = tokenizer, {}, {}, [*ODD_SPACE, *specials]
 
     def direct(self, text: str) -> bytes:
         return _pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -46,13 +48,16 @@ class Encoder:
         raise NotImplementedError
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.pieces) > MAX_PIECES:
-            self.pieces.clear()
+        if len(self.pieces) > self.most:
+            self.pieces, self.older = {}, self.pieces
         parts = [None if any(x in t for x in self.direct_only) else self.split(t) for t in texts]
         made = [p and list(map(self.pieces.get, p)) for p in parts]
         gaps = [(m, p, [i for i, x in enumerate(m) if x is None]) for m, p in zip(made, parts) if m and None in m]
         if gaps:
-            self.learn({p[i] for _, p, at in gaps for i in at})
+            missing = {p[i] for _, p, at in gaps for i in at}
+            again = {p: self.older[p] for p in missing if p in self.older}
+            self.pieces.update(again)
+            self.learn(missing.difference(again))
             for m, p, at in gaps:
                 for i in at:
                     m[i] = self.pieces[p[i]]
@@ -68,11 +73,20 @@ class ByteLevelEncoder(Encoder):
     other texts, go through the general pattern, whose keys end in ``\\n\\n``.
     """
 
+    most = 150_000
     PIECE = re.compile(r" ?\S+|\s+(?!\S)|\s")
 
     def __init__(self, tokenizer, specials):
         super().__init__(tokenizer, specials)
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
+
         (self.line_end,) = tokenizer.encode("\n", add_special_tokens=False).ids
+        # For a blank and letters, which the general pattern leaves whole: the same model without the pattern.
+        self.plain = Tokenizer(tokenizer.model)
+        self.plain.pre_tokenizer = Sequence([CharDelimiterSplit("\n"), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.blank = np.zeros(tokenizer.get_vocab_size(), bool)
+        self.blank[[i for t, i in tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
 
     def split(self, text):
         if text and not (text[0].isspace() or text[-1].isspace() or "  " in text or "\n\n" in text or "\n " in text or " \n" in text or any(c in text for c in RARE_SPACE)):
@@ -82,25 +96,36 @@ class ByteLevelEncoder(Encoder):
         return [p + "\n\n" for p in self.PIECE.findall(text)]
 
     #: Letters that every library counts as such, then symbols: two runs that are encoded apart.
-    TAIL = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)")
+    WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\\[-`{-~]+)?")
 
     def learn(self, missing):
-        pieces, line_end = self.pieces, _pack([self.line_end])
-        words, tails = {}, []
+        pieces, line_end, match = self.pieces, _pack([self.line_end]), self.WORD.fullmatch
+        letters, words, tails = set(), {}, []
         for key in missing:
-            if not key.endswith("\n\n"):
-                m = self.TAIL.fullmatch(key)
-                if m:
-                    tails.append((key, m[1], m[2] + "\n\n"))
-                    for part in tails[-1][1:]:
-                        if part not in pieces:
-                            words[part] = part[:-2] if part[-1] == "\n" else " " + part
+            m = match(key)
+            if m:
+                word, tail = m.groups()
+                if tail is None:
+                    letters.add(key)
                 else:
-                    words[key] = key[1:] if key[0] == "\n" else " " + key
+                    tails.append((key, word, tail + "\n\n"))
+            elif not key.endswith("\n\n"):
+                words[key] = key[1:] if key[0] == "\n" else " " + key
             elif key[:-2].isspace():
                 pieces[key] = self.direct(key[:-2])
             else:
                 words[key] = key[:-2]
+        letters.update(word for _, word, _ in tails if word not in pieces)
+        words.update((tail, tail[:-2]) for tail in {t for _, _, t in tails} if tail not in pieces)
+        keys = list(letters)
+        for at in range(0, len(keys), GROUP):
+            group = keys[at : at + GROUP]
+            ids = np.asarray(self.plain.encode_batch_fast([" " + "\n ".join(group)], add_special_tokens=False)[0].ids, "<u4")
+            cuts, made = (4 * np.flatnonzero(self.blank[ids])).tolist(), ids.tobytes()
+            if len(cuts) == len(group):
+                pieces.update(zip(group, [made[a:b] for a, b in zip(cuts, [*cuts[1:], len(made)])]))
+            else:
+                pieces.update((key, self.direct(" " + key)) for key in group)
         keys, texts = list(words), list(words.values())
         for at in range(0, len(keys), GROUP):
             group = texts[at : at + GROUP]

@@ -28,6 +28,23 @@ def test_encoder_is_exact(spark, name):
     assert encode(texts) == want and encode(texts) == want
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_forgets_only_what_is_not_met_again(name, monkeypatch):
+    """Few pieces are held, those of every text are learned once, and the ids stay those of the library."""
+    encode, learned = tokens.load_encoder.__wrapped__(tokenizer(name)), []
+    for place in ("most", "MAX_PIECES"):
+        monkeypatch.setattr(tokens.Encoder if place == "most" else tokens, place, 100, raising=False)
+    monkeypatch.setattr(type(encode), "most", 100, raising=False)
+    learn = encode.learn
+    encode.learn = lambda missing: (learned.extend(missing), learn(missing))
+    letters = "abcdefghijklmnopqrst"
+    for a in letters:
+        text = " ".join(["the ever same, words", *(f"{a}{b}{c}x" for b in letters for c in "aeiou"), "ÀÉß don't", f"so\n{a}{a}. x1y!"])
+        assert encode([text, ""]) == [np.array(encode.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in (text, "")]
+    assert sum(p.strip() == "ever" for p in learned) == 1
+    assert len(encode.pieces) + len(encode.older) < 500
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 0), (5, 1), (513, 3), (5000, 49_407), (2000, 70_000)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top + 1, n).astype(np.uint32)
