@@ -15,6 +15,7 @@ labelled rows of both classes every score is 0.5.
 from __future__ import annotations
 
 import re
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +27,8 @@ from .common import BoundedCache, chunks, fold_of_value, hash_text, in_arrow, ke
 WORD = re.compile(r"\w+")
 BITS = 20
 STEM = 6
+#: The driver fits, so it takes texts in steps of so many characters and remembers so many words' hashes.
+FIT_CHARS, FIT_WORDS = 100_000, 30_000
 #: A model beyond this many non-zero weights is refused, never broadcast.
 MAX_WEIGHTS = 1 << 19
 
@@ -33,10 +36,10 @@ MAX_WEIGHTS = 1 << 19
 class Features:
     """Distinct hashed features of texts; the bias is added by the model."""
 
-    def __init__(self, bits: int = BITS, stem: int = STEM):
+    def __init__(self, bits: int = BITS, stem: int = STEM, words: int = 250_000):
         self.shift, self.stem = np.uint64(64 - bits), stem
-        self.words = BoundedCache(hash_text)
-        self.stems = BoundedCache(lambda w: hash_text("^" + w[:stem], 7))
+        self.words = BoundedCache(hash_text, words)
+        self.stems = BoundedCache(lambda w: hash_text("^" + w[:stem], 7), words)
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(index of the text, feature) of every occurrence."""
@@ -81,25 +84,35 @@ class ToxicityModel:
 
 
 def fit_ftrl(rows: list, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0, l2: float = 0.5, epochs: int = 2, positive_weight: float = 2.0, bits: int = BITS, stem: int = STEM, seed: int = 17) -> ToxicityModel:
-    """FTRL-proximal over (id, text, 0/1) rows; ``rows`` is bounded by the caller."""
+    """FTRL-proximal over (id, text, 0/1) rows; ``rows`` is bounded by the caller.
+
+    The rows' features wait in a temporary file, from which each step reads one row's.
+    """
     y = np.array([r[2] for r in rows], np.float64)
     if len(set(y)) < 2:
         return ToxicityModel(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0, bits, stem)
-    features, each = Features(bits, stem), []
+    features, ends = Features(bits, stem, FIT_WORDS), [0]
     texts = [r[1] for r in rows]
-    for lo, hi in chunks(texts):
-        doc, f = features(texts[lo:hi])
-        key = np.unique((doc << np.int64(bits)) | f)
-        cuts = np.searchsorted(key, np.arange(hi - lo + 1) << bits)
-        key = (key & ((1 << bits) - 1)).astype(np.int32)
-        each += [key[a:b] for a, b in zip(cuts, cuts[1:])]
+    with tempfile.TemporaryFile() as each:
+        for lo, hi in chunks(texts, FIT_CHARS):
+            doc, f = features(texts[lo:hi])
+            key = np.unique((doc << np.int64(bits)) | f)
+            ends += (ends[-1] + np.searchsorted(key, np.arange(1, hi - lo + 1) << bits)).tolist()
+            each.write((key & ((1 << bits) - 1)).astype(np.int32))
+        del features, texts
+        return _fit(each, ends, y, alpha, beta, l1, l2, epochs, positive_weight, bits, stem, seed)
+
+
+def _fit(each, ends: list[int], y: np.ndarray, alpha: float, beta: float, l1: float, l2: float, epochs: int, positive_weight: float, bits: int, stem: int, seed: int) -> ToxicityModel:
+    """``each``: the file of the rows' int32 features; those of row i stand from ends[i] to ends[i + 1]."""
     size = 1 << bits
     z, n = np.zeros(size), np.zeros(size)
     zb = nb = 0.0
     order = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in order.permutation(len(rows)):
-            x = each[i]
+        for i in order.permutation(len(y)).tolist():
+            each.seek(4 * ends[i])
+            x = np.frombuffer(each.read(4 * (ends[i + 1] - ends[i])), np.int32)
             zi, root = z[x], np.sqrt(n[x])
             w = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + root) / alpha + l2))
             bias = -zb / ((beta + nb**0.5) / alpha + l2)
@@ -108,11 +121,12 @@ def fit_ftrl(rows: list, alpha: float = 0.5, beta: float = 1.0, l1: float = 5.0,
             z[x] = zi + g - step * w
             n[x] += g * g
             zb, nb = zb + g - ((nb + g * g) ** 0.5 - nb**0.5) / alpha * bias, nb + g * g
-    w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
-    used = np.flatnonzero(w)
+    used = np.flatnonzero((z > l1) | (z < -l1))
+    z, n = z[used], n[used]
+    w = (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2)
     if len(used) > MAX_WEIGHTS:
         raise ValueError(f"{len(used)} weights exceed {MAX_WEIGHTS}; raise l1")
-    return ToxicityModel(used.astype(np.int32), w[used].astype(np.float32), -zb / ((beta + nb**0.5) / alpha + l2), bits, stem)
+    return ToxicityModel(used.astype(np.int32), w.astype(np.float32), -zb / ((beta + nb**0.5) / alpha + l2), bits, stem)
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 4, held_fold: int = 2, max_docs: int = 10_000, **params) -> ToxicityModel:

@@ -3,6 +3,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -214,6 +215,17 @@ def test_toxicity_scores_against_plain_code():
     assert len(weight) > 10 and np.allclose(model.scorer()(texts), [plain(t) for t in texts], atol=1e-5)
 
 
+def test_toxicity_fits_in_little_memory():
+    """The driver fits: words' hashes and rows' features don't pile up there beside the texts."""
+    draw = random.Random(3)
+    rows = [(i, " ".join(f"w{draw.randrange(10**6)}" for _ in range(1000)), i % 2) for i in range(150)]
+    tracemalloc.start()
+    toxicity.fit_ftrl(rows, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 35, peak
+
+
 def test_quality_scores_against_plain_code():
     """Scores as an average over words, their n-grams and the marker features, one by one."""
     draw = random.Random(3)
