@@ -45,6 +45,19 @@ def test_encoder_forgets_only_what_is_not_met_again(name, monkeypatch):
     assert len(encode.pieces) + len(encode.older) < 500
 
 
+@pytest.mark.parametrize("name, before", [("byte_bpe_50k.json", " "), ("byte_bpe_50k.json", ""), ("word_bpe_49k.json", "")])
+def test_merges_of_many_words_at_once(name, before):
+    """Words of every length and of repeated letters get the library's ids, without the library's help."""
+    encode, draw = tokens.load_encoder.__wrapped__(tokenizer(name)), random.Random(5)
+    words = ["a" * k for k in range(1, 31)] + ["anan" * k for k in range(1, 8)] + ["é" * k for k in range(1, 31)] + ["thing", "nothingness"]
+    words += ["".join(draw.choice("eeettaaoinshrdluéÿ") for _ in range(draw.randint(1, 30))) for _ in range(6000)]
+    want = [encode.direct(before + w) for w in words]
+    assert encode.merges.encode(words, before) == want
+    encode.tokenizer = None  # the encoder itself doesn't ask it either
+    encode([f"so {' '.join(words)}"])
+    assert before == "" and name[0] == "b" or [encode.pieces[w] for w in words] == want
+
+
 @pytest.mark.parametrize("n, top", [(0, 1), (1, 0), (5, 1), (513, 3), (5000, 49_407), (2000, 70_000)])
 def test_wavelet_matrix(n, top):
     ids = np.random.default_rng(n).integers(0, top + 1, n).astype(np.uint32)
