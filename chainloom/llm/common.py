@@ -7,6 +7,7 @@ name, so extra columns of any name are ignored.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import uuid
 import zlib
@@ -155,7 +156,49 @@ def in_arrow(df: DataFrame, run, schema) -> DataFrame:
     Spark reads the bound from the session when the plan runs, so it stays set there.
     """
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lean(run), schema)
+
+
+def lean(run):
+    """``run`` in a worker that keeps what this function made, for its further tasks, but not what others made, nor freed memory."""
+    owner = f"{run.__module__}.{run.__qualname__}"
+
+    def within(batches):
+        take_over(owner)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return within
+
+
+#: Calls that drop what a process keeps from task to task, and the function that it works for.
+_drops: list = []
+_owner = ""
+
+
+def dropped_by(drop):
+    """Register a call that drops what its module keeps in a process."""
+    _drops.append(drop)
+
+
+def take_over(owner: str) -> None:
+    global _owner
+    if owner != _owner:
+        for drop in _drops:
+            drop()
+        _owner = owner
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system; a worker, idle or not, would hold it beside the JVM."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
 
 
 def chunks(texts: list, limit: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
@@ -185,12 +228,18 @@ class BoundedCache(dict):
         return value
 
 
+#: The model that a process works with, and what was made of it.
+_made: list = []
+
+
 def kept(model, maker: str):
-    """``model.maker()``, made once for each process that holds the model, so caches outlive a task."""
-    found = model.__dict__.get("_kept")
-    if found is None:
-        found = model.__dict__["_kept"] = getattr(model, maker)()
-    return found
+    """``model.maker()``, made once while a process works with the model, so caches outlive a task."""
+    if not _made or _made[0] is not model:
+        _made[:] = model, getattr(model, maker)()
+    return _made[1]
+
+
+dropped_by(_made.clear)
 
 
 def hash_text(word: str, seed: int = 0) -> int:

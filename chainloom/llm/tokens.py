@@ -18,6 +18,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import dropped_by
+
 #: White space of Python that the library doesn't count as such.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 #: All other white space but blank and line feed.
@@ -254,7 +256,7 @@ class WordEndEncoder(Encoder):
 def load_encoder(path: str) -> Encoder:
     """The encoder for a ``tokenizers`` file; kinds other than these two are refused.
 
-    A process keeps it, so the tasks of one Python worker share what was learned.
+    A process keeps it, so the tasks of one Python worker share what was learned, until another function's tasks come.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -266,3 +268,6 @@ def load_encoder(path: str) -> Encoder:
     if kind is ByteLevelEncoder and (made["pre_tokenizer"]["type"] != "ByteLevel" or made["pre_tokenizer"].get("add_prefix_space") or made["normalizer"]):
         raise ValueError(f"{path}: not a supported kind of vocabulary")
     return kind(Tokenizer.from_file(path), specials, made["model"])
+
+
+dropped_by(load_encoder.cache_clear)

@@ -71,3 +71,34 @@ def test_sweep(spark):
     assert cut(spark.range(3)).count() == 3
     assert sweep(spark)
     assert cut(spark.range(3)).count() == 3
+
+
+def test_workers_drop_what_an_operator_before_them_made(spark):
+    """The next tasks of a function find what it made; another function's don't, and so a worker never holds the caches of all stages."""
+    from chainloom.llm import tokens
+    from chainloom.llm.common import in_arrow
+    from chainloom.llm.queries import tokenizer
+
+    path = tokenizer("byte_bpe_50k.json")
+
+    def state(batches):
+        import os
+
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"pid": [os.getpid()], "held": [tokens.load_encoder.cache_info().currsize]})
+
+    def encode(batches):
+        found = list(state(batches))
+        tokens.load_encoder(path)
+        yield from found
+
+    def other(batches):
+        yield from state(batches)
+
+    ask = lambda run: [tuple(r) for r in in_arrow(spark.range(0, 8, 1, 4), run, "pid long, held long").collect()]
+    loaded = {pid for _ in range(4) for pid, _ in ask(encode)}
+    assert any(held for _ in range(4) for _, held in ask(encode))
+    after = [x for _ in range(4) for x in ask(other)]
+    assert loaded & {pid for pid, _ in after} and not any(held for _, held in after)
