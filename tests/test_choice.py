@@ -113,3 +113,9 @@ def test_feed_repeats_and_nameless_deletions(spark, tmp_path):
         feed.follow(feed.read_feed(spark, land), out, mark)
     rows = sorted((r["number"], r["id"], r["status"]) for r in spark.read.parquet(out).collect())
     assert [(n, s) for n, _, s in rows] == [(1, "processed"), (2, "processed"), (3, "processed"), (4, "marked_unpublished")]
+
+
+def test_yaml_is_read_in_c_where_it_can_be():
+    import yaml
+
+    assert lockfiles.yaml_loader() is (yaml.CSafeLoader if yaml.__with_libyaml__ else yaml.SafeLoader)
