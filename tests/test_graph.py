@@ -140,3 +140,48 @@ def test_components_are_never_left_over(spark):
     assert {r["name"]: r["scc"] for r in graph.components(e, graph.nodes_of(e)).collect()} == dict(a="a", b="a", c="c", d="c", e="e", f="e")
     with pytest.raises(RuntimeError):
         graph.components(e, graph.nodes_of(e), max_rounds=1).collect()
+
+
+def drawn_edges(spark, seed, nodes=24, n=30):
+    draw = random.Random(seed)
+    rows = [(f"p{draw.randrange(nodes)}", f"p{draw.randrange(nodes)}") for _ in range(n)]
+    return spark.createDataFrame(rows, "src string, dst string").repartition(3)
+
+
+@pytest.mark.parametrize("whole, part", [(200_000, 3), (9, 4_000)])
+def test_walks_of_whole_components_equal_joins(spark, monkeypatch, whole, part):
+    """Components in tasks, with their roots shared by several tasks, through joins, and both."""
+    from chainloom.operators import islands
+
+    monkeypatch.setattr(islands, "SLICE", part)
+    monkeypatch.setattr(islands, "WHOLE", whole)
+    e = drawn_edges(spark, 5)
+    nodes = graph.cut_lineage(graph.nodes_of(e, spark.createDataFrame([("alone",)], "name string")))
+    downloads = spark.createDataFrame([("p1", 7), ("p2", 0), ("alone", 5)], "name string, downloads long")
+    e, rounded = graph.cut_lineage(e), lambda df, c: sorted((r["name"], round(r[c], 9)) for r in df.collect())
+    want = graph.cut_lineage(graph.reach_summary(graph.closure(e, nodes, 4), downloads))
+    got = graph.cut_lineage(graph.reach(e, nodes, downloads, 4))
+    for c in ("reach", "mean_depth", "max_depth", "weighted_downloads"):
+        assert rounded(got, c) == rounded(want, c)
+    n = nodes.count()
+    for k in (7, None):
+        roots = graph.pivots(nodes, k or n).select("name")
+        share = {r["name"]: r["share"] * n / (k or n) / ((n - 1) * (n - 2)) for r in graph._shares(e, roots).collect()}
+        assert rounded(graph.betweenness(e, nodes, k), "betweenness") == sorted((r["name"], round(share.get(r["name"], 0.0), 9)) for r in nodes.collect())
+    scc = {tuple(r) for r in graph.components(e, nodes).collect()}
+    assert scc == {tuple(r) for r in graph.components(e, nodes, max_rounds=99).collect()}
+
+
+def test_work_on_many_components_takes_few_jobs(spark):
+    """Rounds and batches must not grow with the number of components and nodes; before, these took 137 jobs and more."""
+    pairs = [(f"{c}-{i:02d}", f"{c}-{i + 1:02d}") for c in range(40) for i in range(14)]
+    e = graph.cut_lineage(spark.createDataFrame(pairs + [(d, s) for s, d in pairs if s.endswith("07")], "src string, dst string"))
+    nodes = graph.cut_lineage(graph.nodes_of(e))
+    sc = spark.sparkContext
+    for work in (lambda: graph.components(e, nodes).collect(), lambda: graph.reach(e, nodes, roots=100).collect()):
+        group = f"few-{random.random()}"
+        sc.setJobGroup(group, group)
+        work()
+        jobs = len(sc.statusTracker().getJobIdsForGroup(group))
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        assert jobs < 110
