@@ -119,3 +119,35 @@ def test_yaml_is_read_in_c_where_it_can_be():
     import yaml
 
     assert lockfiles.yaml_loader() is (yaml.CSafeLoader if yaml.__with_libyaml__ else yaml.SafeLoader)
+
+
+def test_choice_holds_no_more_than_what_is_covered():
+    """Bits of a number for each option took memory by options times names."""
+    import tracemalloc
+
+    n = 6_000
+    risk = {f"p{i}": float(i) for i in range(n)}
+    options = [(1.5, [p]) for p in risk]
+    tracemalloc.start()
+    taken = customer.choose(options, risk, 10.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert taken == [n - 1, n - 2, n - 3, n - 4, n - 5, n - 6] and most < 2_000_000
+
+
+def test_plan_of_a_large_project(spark):
+    names = [f"p{i:05d}" for i in range(3_000)]
+    at_risk = spark.createDataFrame([("a", p, float(i)) for i, p in enumerate(names)] + [("b", "q", 1.0)], "project_id string, name string, risk double")
+    options = spark.createDataFrame([("a", "OVERRIDE", p, 1.5, [p], float(i)) for i, p in enumerate(names)] + [("a", "PIN", "p00000", 1.0, names[::2], 0.0)], "project_id string, action string, target string, cost double, covered array<string>, gain double")
+    rows = customer.plan(options, at_risk, 3.0).orderBy("step").collect()
+    assert [(r["action"], r["target"], len(r["covered"])) for r in rows] == [("PIN", "p00000", 1500), ("OVERRIDE", "p02999", 1)]
+    assert {(r["cost_used"], r["eliminated"], len(r["unresolved"]), r["unresolved"][0]) for r in rows} == {(2.5, float(sum(range(0, 3000, 2)) + 2999), 1499, "p00001")}
+
+
+def test_direct_packages_are_those_of_their_own_lockfile(spark):
+    """Two texts of one project; no plan carries the list of direct names along with each package."""
+    doc = lambda top: json.dumps({"lockfileVersion": 2, "packages": {"": {"dependencies": {top: "1"}}, "node_modules/a": {"version": "1.0.0"}, "node_modules/b": {"version": "1.0.0"}, "node_modules/b/node_modules/a": {"version": "2.0.0"}}})
+    files = spark.createDataFrame([("p", doc("a")), ("q", doc("b")), (None, doc("b"))], "project_id string, content string")
+    out = lockfiles.npm(files)
+    assert {(r["project_id"], r["name"], r["version"], r["is_direct"]) for r in out.collect()} == {("p", "a", "2.0.0", False), ("p", "b", "1.0.0", False), ("q", "a", "2.0.0", False), ("q", "b", "1.0.0", True), (None, "a", "2.0.0", False), (None, "b", "1.0.0", True)}
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
