@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring
 from ..functions.scoring import SIGNALS
-from ..session import let
+from ..session import cut_lineage, let
+from .graph import modest
 
 DAY = 86_400_000_000.0  # microseconds
 
@@ -41,8 +42,9 @@ def signals(versions: DataFrame, maintainers: DataFrame | None = None, events: D
     rows = versions.select("package", "version", F.col("published_at").cast("timestamp").alias("published_at"), "publisher", "size", "has_install_hook", "provenance", entropy)
     rows = (_with_others if mode == "compat" else _with_earlier)(rows)
 
-    breadth = versions.where("publisher IS NOT NULL").groupBy("publisher").agg(F.count_distinct("package").cast("double").alias("breadth"))
-    rows = rows.join(breadth, "publisher", "left")
+    # A few publishers have most releases; their numbers go to the releases, which aren't dealt by publisher.
+    breadth = cut_lineage(versions.where("publisher IS NOT NULL").groupBy("publisher").agg(F.count_distinct("package").cast("double").alias("breadth")))
+    rows = rows.join(modest(breadth), "publisher", "left")
     rows = rows.join(maintainers.groupBy("package").agg(F.count_distinct("maintainer").cast("double").alias("bus")), "package", "left") if maintainers is not None else rows.withColumn("bus", F.lit(None).cast("double"))
     rows = rows.join(events.groupBy("package").agg(F.max((F.col("event_type") == "ADDED").cast("double")).alias("churn")), "package", "left") if events is not None else rows.withColumn("churn", F.lit(None).cast("double"))
     rows = rows.join(drift.select("package", "version", F.col("repo_drift").cast("double").alias("drift")), ["package", "version"], "left") if drift is not None else rows.withColumn("drift", F.lit(None).cast("double"))

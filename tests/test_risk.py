@@ -129,3 +129,18 @@ def test_cadence(spark):
     t = datetime(2024, 1, 1)
     df = spark.createDataFrame([("p", t), ("p", t + timedelta(days=2)), ("p", t + timedelta(days=12)), ("q", t)], "package string, published_at timestamp")
     assert {r["package"]: r["cadence"] for r in fragility.cadence_telemetry(df).collect()} == {"p": 1.0, "q": 0.1}
+
+
+def test_releases_are_not_dealt_by_publisher(spark):
+    """Four publishers have nearly all releases, and those without one are a fifth; a join by publisher puts each into one task."""
+    import re
+
+    v = spark.createDataFrame([(f"p{i % 5}", str(i), datetime(2024, 1, 1 + i), "ann", 1, False, 5.0, "ATTESTED") for i in range(20)], "package string, version string, published_at timestamp, publisher string, size long, has_install_hook boolean, entropy double, provenance string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for mode in ("compat", "point_in_time"):
+            out = fragility.signals(v, mode=mode)
+            assert not re.search(r"hashpartitioning\(publisher#\d+, ", out._jdf.queryExecution().executedPlan().toString())
+            assert {r["publisher_portfolio_breadth"] for r in out.collect()} == {5.0}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
